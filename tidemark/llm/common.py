@@ -90,3 +90,15 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
     data = np.empty(0, np.uint8) if column.buffers()[2] is None else np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     return data, offsets - offsets[0]
+
+
+def open_fs(url: str):
+    """(file system, path) of a URL, for files that executors write to the shared folder."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(url)
+
+
+def spread(manifest: DataFrame, most: int = 4096) -> DataFrame:
+    """A manifest of files dealt out to as many tasks as it has files, at most ``most``."""
+    return manifest.repartition(max(1, min(most, manifest.count())))
