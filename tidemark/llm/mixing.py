@@ -41,8 +41,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, share: fl
     upto = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("cap_before", F.coalesce(F.sum("cap").over(upto), F.lit(0.0))).withColumn("w_before", F.coalesce(F.sum("w").over(upto), F.lit(0.0)))
     level = (F.col("total") - F.col("cap_before")) / (F.col("w_all") - F.col("w_before"))
-    s = s.withColumn("level", F.min(F.when(F.col("cap") / F.col("w") >= level, level)).over(Window.partitionBy()))
-    return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("w") * F.col("level"), F.col("cap"))).alias("target"))
+    # The level of a prefix rises while sources that belong in it join and falls after that.
+    s = s.withColumn("level", F.max(level).over(Window.partitionBy()))
+    return s.select("source", "source_size", F.least("cap", F.col("w") * F.col("level")).alias("target"))
 
 
 def totals_before(totals: DataFrame, group: list[str], bucket: str, value: str) -> DataFrame:
@@ -113,6 +114,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return queued.select("doc_id", "source", "size", "source_size", F.col("target"), n.cast("int").alias("copies"), (n * F.col("size")).cast("long").alias("taken"), *extra)
 
 
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; rows of one id and size alike."""
+    plan = mix(docs, id_col, text_col, source_col, **how).where(F.col("copies") > 0)
+    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
+    joined = docs.withColumn("_words", n_words(F.col(text_col))).join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+
+
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -126,8 +135,8 @@ w AS (SELECT source, source_size, 3.0::DOUBLE * source_size AS cap,
 b AS (SELECT *, sum(source_size) OVER ()::DOUBLE AS total, sum(w) OVER () AS w_all,
              coalesce(sum(cap) OVER o, 0) AS cap_before, coalesce(sum(w) OVER o, 0) AS w_before
       FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-lv AS (SELECT *, min(CASE WHEN cap / w >= (total - cap_before) / (w_all - w_before) THEN (total - cap_before) / (w_all - w_before) END) OVER () AS level FROM b),
-aims AS (SELECT source, source_size, least(cap, coalesce(w * level, cap)) AS target FROM lv),
+lv AS (SELECT *, max((total - cap_before) / (w_all - w_before)) OVER () AS level FROM b),
+aims AS (SELECT source, source_size, least(cap, w * level) AS target FROM lv),
 q AS (SELECT d.doc_id, d.source, d.size, a.source_size, a.target,
              sum(d.size) OVER (PARTITION BY d.source ORDER BY d.shuffle, d.doc_id, d.size ROWS UNBOUNDED PRECEDING)::BIGINT AS served
       FROM d JOIN aims a ON d.source IS NOT DISTINCT FROM a.source),
