@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lines, mixing, quality, warc
+from . import bpe, chat, lines, mixing, quality, simhash, warc
 
-QUERIES = {f.__name__: f for f in (quality.op1_repetition_quality, bpe.op3_bpe_segment_tree, chat.op4_chat_trees, mixing.op6_mix_sources, warc.op8_warc_zip, lines.op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (quality.op1_repetition_quality, bpe.op3_bpe_segment_tree, chat.op4_chat_trees, mixing.op6_mix_sources, simhash.op7_simhash_pivots, warc.op8_warc_zip, lines.op9_line_dedup)}
 SQL = {"op6_mix_sources": mixing.SQL, "op9_line_dedup": lines.SQL}
