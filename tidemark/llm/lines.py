@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 WINDOW, DIVISOR, MIN_LINES = 2, 3, 2
 PRIME, BASE = 2_147_483_647, 1_000_003
@@ -67,6 +67,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.struct("_d", "_m", "_k")
     firsts = rows.groupBy("_chunk").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where(F.col("_n") > 1)
     firsts = firsts.groupBy(F.md5("_chunk").alias("_key")).agg(F.min("_first").alias("_first"), F.count("*").alias("_texts")).where(F.col("_texts") == 1).select("_key", "_first")
+    firsts = cut(firsts, "first-chunks")  # then the join below has two plain shuffles, which Spark can split
     again = rows.select("_d", "_m", "_k", F.md5("_chunk").alias("_key")).join(firsts, "_key").where(place != F.col("_first"))
     return again.groupBy("_d", "_m").agg(F.collect_set("_k").alias("_drop"))
 
