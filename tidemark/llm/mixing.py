@@ -118,7 +118,7 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """The rows of docs, each as often as the mix takes it; rows of one id and size alike."""
     plan = mix(docs, id_col, text_col, source_col, **how).where(F.col("copies") > 0)
     plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    joined = docs.withColumn("_words", n_words(F.col(text_col))).join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    joined = docs.withColumn("_words", n_words(F.col(text_col))).join(plan.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
 
 

@@ -205,7 +205,7 @@ def keep_one(docs: DataFrame, bits: int = BITS, words: int = WORDS, id_col: str
     """The rows of docs whose id is the smallest of their component; of equal ids one row stays."""
     stay = link(docs, bits, words, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component")))
     stay = cut(stay.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "simhash-stay")
-    kept = docs.join(stay.select("_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    kept = docs.join(stay.select("_id").hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
     # Ids are as a rule unique; only if one is not does the text go through a second shuffle.
     return kept if stay.where("_n > 1").isEmpty() else kept.dropDuplicates([id_col])
 
