@@ -74,16 +74,18 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated chunks gone from the text, and n_lines, n_removed_lines, n_removed_chunks."""
-    d, m = _keys(id_col, text_col)
-    drop = repeated_chunks(docs, id_col, text_col).select(F.col("_d").alias("_rd"), F.col("_m").alias("_rm"), "_drop")
-    joined = docs.withColumns({"_d": d, "_m": m}).join(drop, (F.col("_d") == F.col("_rd")) & (F.col("_m") == F.col("_rm")), "left")
-    t = F.col(text_col)
+    drop = repeated_chunks(docs, id_col, text_col)
+    row = F.col("_row")
+    # The row travels as one struct, so that no name of its columns can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[k.alias(n) for k, n in zip(_keys(id_col, text_col), ("_rd", "_rm"), strict=True)])
+    joined = rows.join(drop, (F.col("_rd") == F.col("_d")) & (F.col("_rm") == F.col("_m")), "left")
+    t = row[text_col]
     kept = let(F.coalesce(F.col("_drop"), F.array().cast("array<int>")), lambda gone: F.filter(chunks_of(t), lambda c, k: ~F.array_contains(gone, k)))
     n_lines = F.when(t.isNull(), 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit("\n"))) + 1).cast("long")
     new = F.when(F.col("_drop").isNull(), t).otherwise(F.array_join(F.flatten(kept), "\n"))
     left = F.when(F.col("_drop").isNull(), n_lines).otherwise(F.size(F.flatten(kept)).cast("long"))
-    out = joined.withColumn("_new", new).withColumn("_left", left)
-    return out.select(*[F.col("_new").alias(c) if c == text_col else F.col(c) for c in docs.columns], n_lines.alias("_n_lines"), (n_lines - F.col("_left")).alias("_n_removed"), F.coalesce(F.size("_drop"), F.lit(0)).alias("_n_chunks"))
+    out = joined.select("_row", new.alias("_new"), left.alias("_left"), F.coalesce(F.size("_drop"), F.lit(0)).alias("_chunks"))
+    return out.select(*[F.col("_new").alias(c) if c == text_col else row[c].alias(c) for c in docs.columns], n_lines.alias("_n_lines"), (n_lines - F.col("_left")).alias("_n_removed"), F.col("_chunks").alias("_n_chunks"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,10 +60,10 @@ def totals_before(totals: DataFrame, group: list[str], bucket: str, value: str)
     return t.join(blocks, on).select(*totals.columns, (F.col("_near") + F.col("_far")).alias("before"))
 
 
-def queue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, repeats: int = REPEATS, seed: str = SEED, extra: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+def queue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, repeats: int = REPEATS, seed: str = SEED) -> tuple[DataFrame, int]:
     """Documents with size, source_size, target and ``served``, the words their source has queued up
     to and including their first copy; and the number of rows."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("-1")))).alias("shuffle"), *extra)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("-1")))).alias("shuffle"))
     base = cut(base, "mix-sizes")
     rows = base.count()
     buckets = max(1, -(-rows // ROWS_IN_BUCKET))
@@ -76,7 +76,7 @@ def queue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     inside = Window.partitionBy("source", "bucket").orderBy("shuffle", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     base = base.withColumn("_in", F.sum("size").over(inside))
     out = base.join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("before") + F.col("_in")).alias("served"), *extra), rows
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("before") + F.col("_in")).alias("served")), rows
 
 
 def finish(e) -> F.Column:
@@ -84,10 +84,10 @@ def finish(e) -> F.Column:
     return (F.col("served") + e * F.col("source_size")).cast("double") / F.col("target")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, repeats: int = REPEATS, seed: str = SEED, extra: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: how often and for how many words the
     mix takes each document."""
-    queued, rows = queue(docs, id_col, text_col, source_col, weights, repeats, seed, extra)
+    queued, rows = queue(docs, id_col, text_col, source_col, weights, repeats, seed)
     queued = cut(queued, "mix-queue")
     copies = queued.where((F.col("size") > 0) & (F.col("target") > 0)).select("source", "size", "served", F.explode(F.array(*[finish(F.lit(e)) for e in range(repeats)])).alias("finish"))
     # Slices of the finish time are the global range sort; only totals of slices leave the tasks.
@@ -111,15 +111,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     tie = source_before | (name.eqNullSafe(source) & (F.col("served") < last[2]))
     taken = sum(((finish(F.lit(e)) < last[0]) | ((finish(F.lit(e)) == last[0]) & tie)).cast("int") for e in range(repeats))
     n = F.when((F.col("size") > 0) & (F.col("target") > 0), taken).otherwise(0)
-    return queued.select("doc_id", "source", "size", "source_size", F.col("target"), n.cast("int").alias("copies"), (n * F.col("size")).cast("long").alias("taken"), *extra)
+    return queued.select("doc_id", "source", "size", "source_size", F.col("target"), n.cast("int").alias("copies"), (n * F.col("size")).cast("long").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; rows of one id and size alike."""
     plan = mix(docs, id_col, text_col, source_col, **how).where(F.col("copies") > 0)
     plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    joined = docs.withColumn("_words", n_words(F.col(text_col))).join(plan.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    # The row travels as one struct, so that no name of its columns can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_mine"), n_words(F.col(text_col)).alias("_words"))
+    joined = rows.join(plan.hint("merge"), F.col("_mine").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    joined = joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    return joined.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
