@@ -16,8 +16,8 @@ Only distinct fingerprints are filed.  Of a key's links only a spanning forest l
 pairs of a group; connected components then run over the whole corpus.
 
 Null and empty texts have fingerprint zero.  Equal rows link.  Null ids count as the largest id and
-come back as null.  Rows of one doc_id are one document for component ids.  Extra columns are not read by
-:func:`link`, and pass through :func:`keep_one`, whatever their names.
+come back as null.  Rows with equal doc_id and other texts are documents of their own, linked by fingerprint
+alone.  Extra columns are not read by :func:`link`, and pass through :func:`keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -153,8 +153,8 @@ def forest(keys: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
     return label
 
 
-def links(reps: DataFrame, bits: int = BITS) -> DataFrame:
-    """Edges (a, b) between reps that connect what links within bits; reps is (fp, rep)."""
+def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints fp that connect what links within bits."""
     if bits > BITS:
         raise ValueError(f"keys are complete up to {BITS} bits")
 
@@ -162,30 +162,30 @@ def links(reps: DataFrame, bits: int = BITS) -> DataFrame:
         for b in batches:
             fps = b.column(0).to_numpy().view(U64)
             keys = keys_of(fps)
-            m = keys.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(fps.view(np.int64), m)), pa.array(np.repeat(b.column(1).to_numpy(), m))], names=["key", "fp", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(fps.view(np.int64), keys.shape[1]))], names=["key", "fp"])
 
-    def run(batches):
-        held = np.empty((3, 0), np.int64)
-
-        def edges(rows: np.ndarray) -> pa.RecordBatch:
-            label = forest(rows[0], rows[1].view(U64), bits) if rows.shape[1] else np.empty(0, np.int64)
-            own = label != np.arange(len(label))
-            return pa.RecordBatch.from_arrays([pa.array(rows[2][own]), pa.array(rows[2][label[own]])], names=["a", "b"])
+    def edges(rows: np.ndarray) -> pa.RecordBatch:
+        rows = np.ascontiguousarray(rows)
+        label = forest(rows[0], rows[1].view(U64), bits) if rows.shape[1] else np.empty(0, np.int64)
+        own = label != np.arange(len(label))
+        return pa.RecordBatch.from_arrays([pa.array(rows[1][own]), pa.array(rows[1][label[own]])], names=["a", "b"])
 
-        parts = [held]
+    def run(batches):
+        parts: list[np.ndarray] = []  # rows whose last key may go on
         for b in batches:
             rows = np.stack([c.to_numpy() for c in b.columns])
-            if rows.shape[1] and len(parts) and rows[0, -1] == rows[0, 0] and (p := parts[-1]).shape[1] and p[0, -1] == rows[0, 0]:
-                parts.append(rows)  # the same key goes on
+            if not rows.shape[1]:
+                continue
+            last = int(np.searchsorted(rows[0], rows[0, -1], "left"))
+            if last == 0 and parts and parts[-1][0, -1] == rows[0, 0]:
+                parts.append(rows)
                 continue
-            held = np.ascontiguousarray(np.concatenate([*parts, rows], 1))
-            last = int(np.searchsorted(held[0], held[0, -1], "left")) if held.shape[1] else 0
-            yield edges(np.ascontiguousarray(held[:, :last]))
-            parts = [held[:, last:]]
-        yield edges(np.ascontiguousarray(np.concatenate(parts, 1)))
+            yield edges(np.concatenate([*parts, rows[:, :last]], 1))
+            parts = [rows[:, last:]]
+        if parts:
+            yield edges(np.concatenate(parts, 1))
 
-    filed = reps.select("fp", "rep").mapInArrow(file, "key bigint, fp bigint, rep bigint")
+    filed = fps.select("fp").mapInArrow(file, "key bigint, fp bigint")
     filed = filed.repartition(F.col("key")).sortWithinPartitions("key", "fp")
     return filed.mapInArrow(run, "a bigint, b bigint")
 
@@ -194,9 +194,10 @@ def link(docs: DataFrame, bits: int = BITS, words: int = WORDS, id_col: str = "d
     """doc_id, fp and component (the smallest doc_id reachable) of every row."""
     fps = cut(fingerprints(docs, words, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "simhash")
     reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    # A doc_id with two texts joins their fingerprints, as both have it as representative or link to it.
     found = components(links(reps, bits))
-    of = reps.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_f"), F.coalesce("component", "rep").alias("component"))
+    named = cut(reps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("label")), "simhash-labels")
+    least = cut(named.groupBy(F.col("label").alias("_l")).agg(F.min("rep").alias("component")), "simhash-least")
+    of = named.join(least, F.col("label") == F.col("_l")).select(F.col("fp").alias("_f"), "component")
     back = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
     return fps.join(of, F.col("fp") == F.col("_f")).select(back("doc_id"), "fp", back("component"))
 
@@ -205,7 +206,9 @@ def keep_one(docs: DataFrame, bits: int = BITS, words: int = WORDS, id_col: str
     """The rows of docs whose id is the smallest of their component; of equal ids one row stays."""
     stay = link(docs, bits, words, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component")))
     stay = cut(stay.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "simhash-stay")
-    kept = docs.join(stay.select("_id").hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_mine"))
+    kept = rows.join(stay.select("_id").hint("merge"), F.col("_mine").eqNullSafe(F.col("_id")), "left_semi")
+    kept = kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
     # Ids are as a rule unique; only if one is not does the text go through a second shuffle.
     return kept if stay.where("_n > 1").isEmpty() else kept.dropDuplicates([id_col])
 
