@@ -2,8 +2,9 @@
 
 1. Equal vectors become one class (smallest vec_id, number of copies) by a partial aggregate.
 2. Rotations for balanced binary codes are learnt by iterative quantisation (Gong and Lazebnik 2011)
-   on at most ``SAMPLE`` classes, those of smallest hash: the one bounded fit here.  Every class is
-   coded and indexed.
+   on at most ``SAMPLE`` classes, those of smallest hash, less those within ``APART`` of another, so that a
+   large group counts once and no balance is sought inside it.  That is the one bounded fit here; every
+   class is coded and indexed.
 3. The code is cut into tables of ``w`` bits, w growing with the logarithm of the classes, as many as
    leave a pair at the threshold a chance of ``MISS`` to agree in none.  Classes that agree in a table
    and differ in at most ``SHARE`` of the whole code are joined to groups; a spanning forest of
@@ -29,10 +30,25 @@ from pyspark.sql import functions as F
 from .common import U64, cut, table
 from .graph import components, local_labels
 
-COSINE, SAMPLE, MISS, FLIP, SHARE, BLOCK, SMALL_RUN, ROWS = 0.95, 20_000, 0.02, 0.09, 0.20, 2048, 64, 512
+COSINE, SAMPLE, APART, MISS, FLIP, SHARE, BLOCK, SMALL_RUN, ROWS = 0.95, 8192, 0.90, 0.02, 0.09, 0.20, 2048, 64, 512
 NO_ID = (1 << 63) - 1
 
 
+def thinned(sample: np.ndarray) -> np.ndarray:
+    """The unit vectors of a sample that lie apart from all before them."""
+    kept = np.empty((0, sample.shape[1]))
+    for at in range(0, len(sample), ROWS):
+        part = sample[at : at + ROWS]
+        if len(kept):
+            part = part[(part @ kept.T).max(1) < APART]
+        near, stay = part @ part.T >= APART, []
+        for i in range(len(part)):
+            if not near[i, stay].any():
+                stay.append(i)
+        kept = np.concatenate([kept, part[stay]])
+    return kept
+
+
 def fit(sample: np.ndarray, bits: int, rounds: int = 20, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(projection, thresholds) of a code of that many bits, from unit vectors in rows."""
     rng, d = np.random.default_rng(seed), sample.shape[1]
@@ -121,7 +137,7 @@ def groups(classes: DataFrame, n: int, dims: int) -> DataFrame:
     w, tables = shape(n)
     bits = w * tables
     sample = classes.select("vec").orderBy(F.xxhash64("vec"), "rep").limit(SAMPLE).toArrow()["vec"].combine_chunks()
-    project, at = fit(unit(sample), bits)
+    project, at = fit(thinned(unit(sample)), bits)
     words, most = -(-bits // 64), int(SHARE * bits)
     power = 1 << np.arange(w, dtype=np.int64)
 
