@@ -3,8 +3,8 @@
 A stream of ids is cut into blocks.  Every block starts from an empty model and has a CRC-32, so it can be
 decoded alone.  The model predicts each id from the two before it (order 2), the one before it (order 1)
 and the block so far (order 0).  The coder first says whether a prediction holds; the odds of that mix two
-adaptive tables, one addressed by how reliable the order-2 and order-1 predictions were lately and one by
-what held for the last ids.  Then it says which prediction, or else the number of bits of the id, by an
+adaptive tables, one addressed by which of the three predictions agree and one by what held for the last
+ids.  Then it says which prediction, or else the number of bits of the id, by an
 adaptive cumulative table, and its bits below the first.
 
 The arithmetic is a carry-less range coder with 64 bits of state that puts out 16 bits at a time.  All
@@ -20,7 +20,7 @@ import zlib
 import numpy as np
 
 BLOCK, LANES = 2048, 8192
-SLOTS1, SLOTS2, RATE = 512, 1024, 5
+SLOTS, RATE = 512, 5
 U = np.uint64
 TOP, LEAST = U(1 << 48), U(1 << 44)
 MASK, WORD = LEAST - U(1), U(16)
@@ -31,9 +31,13 @@ BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.intp)
 AIM = np.array([[j if j <= s else 4096 - (17 - j) for j in range(18)] for s in range(17)], np.int16)
 
 
+def _step(way: np.ndarray) -> np.ndarray:
+    """A share of the way to 0 or 4096, towards zero, so that odds stay between 31 and 4065."""
+    return (way + (way >> 31 & 31)) >> RATE
+
+
 def _nearer(odds: np.ndarray, yes: np.ndarray) -> np.ndarray:
-    """Odds of 4096 moved towards what came; they stay between 31 and 4065."""
-    return odds + np.where(yes, (4096 - odds) >> RATE, -(odds >> RATE))
+    return odds + _step((yes << np.int32(12)) - odds)
 
 
 class _Model:
@@ -41,48 +45,52 @@ class _Model:
 
     def __init__(self, n: int) -> None:
         lane = np.arange(n)
-        self.at1, self.at2, self.at16, self.at18 = lane * SLOTS1, lane * SLOTS2, lane * 16, lane * 18
-        # A prediction and, in the low 4 bits, how often it held.
-        self.t1, self.t2 = np.zeros(n * SLOTS1, np.int32), np.zeros(n * SLOTS2, np.int32)
-        self.p0, self.q0 = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.slots, self.at18 = lane * SLOTS, lane * 18
+        # Places of the present contexts in each table; they follow from the last two ids.
+        self.i1, self.i2 = self.slots.copy(), self.slots.copy()
+        self.t1, self.t2 = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)
+        self.p0, self.q0 = np.zeros(n, np.int32), np.zeros(n, np.int8)
         self.pa, self.pb = np.full(n * 16, 3400, np.int32), np.full(n * 16, 3400, np.int32)
         self.pk, self.pj = np.full(n * 16, 2048, np.int32), np.full(n, 2048, np.int32)
         self.cdf = np.tile((np.arange(18) * 240 + np.maximum(0, np.arange(18) - 16) * 16).astype(np.int16), (n, 1))
         self.cdf[:, 17] = 4096
-        self.h1, self.h2, self.past = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.at16, self.past, self.last = lane * 16, np.zeros(n, np.intp), np.zeros(n, np.int32)
 
     def predict(self, m: int) -> None:
         """Predictions g2, g1, g0 for the first m blocks and the odds (of 8192) that none holds."""
-        h1 = self.h1[:m]
-        self.i1 = self.at1[:m] + (h1 >> 15 & SLOTS1 - 1)
-        self.i2 = self.at2[:m] + ((h1 + self.h2[:m]) >> 14 & SLOTS2 - 1)
-        self.v1, self.v2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.g1, self.g2, self.g0 = self.v1 >> 4, self.v2 >> 4, self.p0[:m]
-        self.k1, self.k2 = self.v1 & 15, self.v2 & 15
-        self.ia = self.at16[:m] + (np.minimum(self.k2, 3) * 4 + np.minimum(self.k1, 3))
+        self.g1, self.g2, self.g0 = self.t1.take(self.i1[:m]), self.t2.take(self.i2[:m]), self.p0[:m]
+        self.ia = self.at16[:m] + (self.g2 == self.g1)
+        self.ia += (self.g1 == self.g0) << 1
         self.ib = self.at16[:m] + self.past[:m]
         self.xa, self.xb = self.pa.take(self.ia), self.pb.take(self.ib)
-        self.odds = self.xa + self.xb
+        self.odds = (self.xa + self.xb).astype(U)
 
     def learn(self, m: int, x: np.ndarray, miss: np.ndarray, bits: np.ndarray) -> None:
-        self.pa[self.ia] = _nearer(self.xa, miss)
-        self.pb[self.ib] = _nearer(self.xb, miss)
-        cdf = self.cdf[:m]
-        move = AIM.take(bits, 0)
+        up = miss << np.int32(12)
+        self.pa[self.ia] = self.xa + _step(up - self.xa)
+        self.pb[self.ib] = self.xb + _step(up - self.xb)
+        cdf, move = self.cdf[:m], AIM.take(bits, 0)
         move -= cdf
         move >>= RATE
         cdf += move
-        fresh = x << 4
-        for t, i, v, g, k in ((self.t1, self.i1, self.v1, self.g1, self.k1), (self.t2, self.i2, self.v2, self.g2, self.k2)):
-            t[i] = np.where(g == x, v + (k < 15), np.where(k > 0, v - k + (k >> 1), fresh))
-        same = self.g0 == x
+        i1, i2, last, past = self.i1[:m], self.i2[:m], self.last[:m], self.past[:m]
+        self.t1[i1] = x
+        self.t2[i2] = x
+        # Slots: low bits of the id; low bits of a mix of the last two.
+        np.add(self.slots[:m], x & SLOTS - 1, out=i1)
+        last *= 11
+        last += x
+        np.add(self.slots[:m], last & SLOTS - 1, out=i2)
+        last[:] = x
+        # A majority vote over the block so far.
         q0 = self.q0[:m]
-        q0 += (same << 1) - np.int32(1)
+        q0 += (self.g0 == x) * np.int8(2) - np.int8(1)
+        np.minimum(q0, 100, out=q0)
         new = np.flatnonzero(q0 < 0)
         self.p0[new], q0[new] = x[new], 1
-        self.past[:m] = (self.past[:m] << 1 | miss) & 15
-        self.h2[:m] = (self.h1[:m] >> 3) * 0x5851F42D & 0xFFFFFFFFFF
-        self.h1[:m] = x * np.int64(0x9E3779B1)
+        past <<= 1
+        past |= miss
+        past &= 15
 
     def binary(self, table: np.ndarray, i: np.ndarray, yes: np.ndarray) -> None:
         table[i] = _nearer(table[i], yes)
@@ -166,7 +174,7 @@ def encode(ids: np.ndarray) -> tuple[list[bytes], list[int], list[int]]:
             two, one = model.g2 == x, model.g1 == x
             miss = ~(two | one | (model.g0 == x))
             low, size = w.low[:m], w.range[:m] >> U(13)
-            odds = model.odds.astype(U)
+            odds = model.odds
             low += size * odds * ~miss
             size *= np.where(miss, odds, U(8192) - odds)
             bits = BITS.take(x)
@@ -226,7 +234,7 @@ def decode(blocks: list[bytes], lengths: list[int], checks: list[int]) -> np.nda
             m = n if t < length[-1] else n - 1
             model.predict(m)
             low, size, code = r.low[:m], r.range[:m] >> U(13), r.code[:m]
-            odds = model.odds.astype(U)
+            odds = model.odds
             edge = size * odds
             miss = code - low < edge
             low += np.where(miss, U(0), edge)

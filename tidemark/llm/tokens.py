@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import rangecoder
 from .common import bytes_of, cut, new_path, open_fs, spread, table, text_slices
 
-SLICE_BYTES, SEGMENT_IDS, REMEMBER = 2_000_000, 16_000_000, 400_000
+SLICE_BYTES, SEGMENT_IDS, REMEMBER = 6_000_000, 16_000_000, 800_000
 NO_ID = (1 << 63) - 1
 MAGIC, HEAD = b"TIDS\x01", struct.Struct("<QQQQ")
 SPACE, LETTER, DIGIT, OTHER, FAR = range(5)
@@ -163,8 +163,9 @@ class ByteBpe:
             hole[at[k] : at[k] + len(e)] = False
         if len(number):
             ends = np.cumsum(size)
-            source = np.repeat(begin[number] - (ends - size), size) + np.arange(ends[-1])
-            out[hole] = flat[source]
+            source = np.arange(ends[-1], dtype=np.int32)  # a slice has far fewer ids than 2^31
+            source += np.repeat((begin[number] - (ends - size)).astype(np.int32), size)
+            out[hole] = flat.take(source)
         return out, at
 
 
