@@ -58,6 +58,7 @@ def test_verdicts(documents, corpus, clashing, no_documents):
     assert not any("same line here\nsame line here" in t for t in kept)
     clean = [t for _, t, *_ in corpus if t and len(W.findall(t)) >= 60 and base_measures(t)[4] == 0 and "\n" not in t]
     assert len(clean) > 10 and set(clean) <= kept and rng
+    assert not any(r["kept"] for r in quality.measure(documents.selectExpr("doc_id", "replace(text, ' ', ' # ') AS text")).collect())
     out = quality.keep_good(clashing)
     assert out.columns == clashing.columns and out.count() == quality.keep_good(documents).count()
     assert quality.measure(no_documents).count() == 0 == quality.keep_good(no_documents).count()

@@ -2,7 +2,7 @@
 
 Every text is measured once: its words are numbered by Arrow's dictionary coder, rolling hashes of
 several n-gram lengths run over the numbers in numpy, and the characters that lie inside duplicated
-n-grams and duplicated lines are counted.  Equal hashes are compared word by word before they count,
+n-grams and duplicated lines are counted, beside symbols.  Equal hashes are compared word by word before they count,
 so the measures are exact.  Rows are independent: there is no shuffle, and a task holds one Arrow
 batch, worked through in slices of a few MB.
 
@@ -27,6 +27,8 @@ from .common import U64, mixed, text_slices
 #: short text that says one line twice would go.
 NGRAM_SHARES = {5: 0.20, 6: 0.19, 7: 0.18, 8: 0.17, 9: 0.16, 10: 0.15}
 DUP_LINE_CHARS, DUP_LINES = 0.25, 0.35
+#: Symbols a word at most, as in the same table.
+SYMBOLS = 0.10
 MIN_WORDS, BASE_NGRAM, BASE_PERCENT = 20, 8, 30
 SLICE_BYTES = 2_000_000
 
@@ -115,6 +117,7 @@ def measures(texts: pa.Array) -> pa.RecordBatch:
     out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > BASE_PERCENT * out["n_words"])
     bad = out["base_failed"] | (out["n_dup_lines"] > DUP_LINES * out["n_lines"])
     bad |= out["dup_line_chars"] > DUP_LINE_CHARS * np.maximum(out["word_chars"], 1)
+    bad |= out["n_symbols"] > SYMBOLS * out["n_words"]
     for k, most in NGRAM_SHARES.items():
         bad |= out[f"dup_{k}gram_chars"] > most * np.maximum(out["word_chars"], 1)
     out["kept"] = ~bad
@@ -154,4 +157,4 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op1_repetition_quality(spark, sf_dir: str) -> DataFrame:
-    return measure(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("verdict", F.when(F.col("kept"), "keep").when(F.col("base_failed"), "base").otherwise("repetition"))
+    return measure(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("verdict", F.when(F.col("kept"), "keep").when(F.col("base_failed"), "base").when(F.col("n_symbols") > SYMBOLS * F.col("n_words"), "symbols").otherwise("repetition"))
