@@ -5,12 +5,11 @@ import hashlib
 import io
 import random
 import struct
-import uuid
 import zipfile
 
 import pytest
 
-from tidemark.llm import chat, warc
+from tidemark.llm import chat, common, warc
 from tidemark.llm.common import new_path
 
 KIND = "page_id long, url string, html string"
@@ -125,5 +124,10 @@ def test_branches_are_ranked_by_score(spark):
     assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == {("t", 1): ["r", "a", "a1"], ("t", 2): ["r", "b", "b1"], ("u", 1): ["x"]}
 
 
-def test_unique_names(spark):
-    assert new_path(spark, "x") != new_path(spark, "x") and uuid
+def test_clean_deletes_what_operators_left(spark, monkeypatch):
+    monkeypatch.setattr(common, "_made", [])
+    assert new_path(spark, "x") != new_path(spark, "x")
+    kept = common.cut(spark.range(3), "rest")
+    assert kept.count() == 3 and common.clean(spark) == 1 and common._made == []
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0])
