@@ -331,3 +331,27 @@ def test_recall_of_the_index():
     far = (up[:4000] != up[4000:]).reshape(4000, -1).sum(1)
     found = (up[:4000] == up[4000:]).all(2).any(1) & (far <= embeddings.SHARE * w * tables)
     assert found.mean() >= 0.9
+
+
+def test_offsets_may_be_judged_a_few_at_a_time(monkeypatch):
+    rng = np.random.default_rng(16)
+    m, most = 60, suffixes.WIDTH - suffixes.GRAM
+    s, p = np.full((m, suffixes.WIDTH), 97, np.uint8), np.full((m, most), 98, np.uint8)
+    for x in (s, p):
+        x[rng.integers(0, m, 40), rng.integers(0, x.shape[1], 40)] = 99
+    right, left = rng.integers(60, suffixes.WIDTH + 1, m), rng.integers(0, most + 1, m)
+    group = np.sort(rng.integers(0, 5, m))
+    args = (s, right, p, left, group, rng.permutation(m))
+    pairs = lambda got: sorted(zip(got[0].tolist(), got[1].tolist(), strict=True))
+    whole = pairs(suffixes.judge(*args))
+    monkeypatch.setattr(suffixes, "WINDOWS", 150)
+    assert pairs(suffixes.judge(*args)) == whole
+    seen, want = set(), []
+    for i in np.argsort(args[5]).tolist():
+        for o in range(most + 1):
+            if o <= left[i] and suffixes.WIDTH - o <= right[i]:
+                w = (int(group[i]), o, bytes(p[i, most - o :]) + bytes(s[i, : suffixes.WIDTH - o]))
+                if w in seen:
+                    want.append((i, o))
+                seen.add(w)
+    assert whole == sorted(want) and want

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, bytes_of, cut, mixed, new_path, open_fs, spread, table
 
-WIDTH, GRAM, CHUNK_BYTES, SLICE, ANCHORS_IN_BUCKET = 100, 36, 8_000_000, 1 << 20, 100_000
+WIDTH, GRAM, CHUNK_BYTES, SLICE, ANCHORS_IN_BUCKET, WINDOWS = 100, 36, 8_000_000, 1 << 20, 100_000, 1_000_000
 NO_ID = (1 << 63) - 1
 _B = 0x9E3779B97F4A7C15
 
@@ -293,13 +293,26 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[in
 
 def judge(suffix: np.ndarray, right: np.ndarray, prefix: np.ndarray, left: np.ndarray, group: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Items and offsets (bytes of a window before its anchor) of windows that an item of smaller rank
-    in the group has too.  suffix rows start at the anchor, prefix rows end there."""
+    in the group has too.  suffix rows start at the anchor, prefix rows end there.
+
+    Only windows at one offset can be equal, so offsets are taken a few at a time: memory stays with the
+    items, however large a group is.
+    """
     m, most = len(suffix), WIDTH - GRAM
-    whole = np.concatenate([prefix, suffix], 1).astype(U64)
+    whole = np.concatenate([prefix, suffix], 1)
     sums = np.zeros((m, whole.shape[1] + 1), U64)
-    np.cumsum(whole * _powers(_B, whole.shape[1]), axis=1, out=sums[:, 1:])
-    o = np.arange(most + 1)
+    np.multiply(whole, _powers(_B, whole.shape[1]), out=sums[:, 1:])
+    np.cumsum(sums, axis=1, out=sums)
+    step = max(1, min(most + 1, WINDOWS // max(m, 1)))
+    out = [_judge_offsets(range(o, min(o + step, most + 1)), whole, sums, suffix, right, prefix, left, group, rank) for o in range(0, most + 1, step)]
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+def _judge_offsets(offsets: range, whole, sums, suffix, right, prefix, left, group, rank) -> tuple[np.ndarray, np.ndarray]:
+    m, most = len(suffix), WIDTH - GRAM
+    o = np.array(offsets)
     item, off = np.nonzero((o <= left[:, None]) & (WIDTH - o <= right[:, None]))
+    off = off + offsets.start
     value = sums[item, most - off + WIDTH] - sums[item, most - off]
     key = mixed(value ^ mixed((group[item].astype(U64) << U64(8)) + off.astype(U64)))
     order = np.lexsort((rank[item], key))
@@ -311,17 +324,18 @@ def judge(suffix: np.ndarray, right: np.ndarray, prefix: np.ndarray, left: np.nd
     ahead = np.minimum(common(suffix[i], suffix[j]), np.minimum(right[i], right[j]))
     behind = np.minimum(common(prefix[i][:, ::-1], prefix[j][:, ::-1]), np.minimum(left[i], left[j]))
     real = (group[a] == group[b]) & (off[same - 1] == off[same]) & (off[same] <= behind[which]) & (WIDTH - off[same] <= ahead[which])
-    if not real.all():  # two windows share a 64-bit hash: judge these by their bytes
-        bad = np.isin(key, key[same[~real]])
-        seen, hit = set(), []
-        for x in np.flatnonzero(bad)[np.argsort(rank[item[bad]], kind="stable")].tolist():
-            w = (int(group[item[x]]), int(off[x]), whole[item[x], most - off[x] : most - off[x] + WIDTH].astype(np.uint8).tobytes())
-            if w in seen:
-                hit.append(x)
-            seen.add(w)
-        keep = np.concatenate([same[~bad[same]], np.array(hit, np.int64)])
-        return item[keep], off[keep]
-    return b, off[same]
+    if real.all():
+        return b, off[same]
+    # Two windows share a 64-bit hash: judge these by their bytes.
+    bad = np.isin(key, key[same[~real]])
+    seen, hit = set(), []
+    for x in np.flatnonzero(bad)[np.argsort(rank[item[bad]], kind="stable")].tolist():
+        w = (int(group[item[x]]), int(off[x]), whole[item[x], most - off[x] : most - off[x] + WIDTH].tobytes())
+        if w in seen:
+            hit.append(x)
+        seen.add(w)
+    keep = np.concatenate([same[~bad[same]], np.array(hit, np.int64)])
+    return item[keep], off[keep]
 
 
 def spans_of(item: np.ndarray, off: np.ndarray, place: np.ndarray) -> np.ndarray:
