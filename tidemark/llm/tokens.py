@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import rangecoder
 from .common import bytes_of, cut, new_path, open_fs, spread, table, text_slices
 
-SLICE_BYTES, SEGMENT_IDS, REMEMBER = 6_000_000, 16_000_000, 800_000
+SLICE_BYTES, SEGMENT_IDS, REMEMBER = 4_000_000, 16_000_000, 400_000
 NO_ID = (1 << 63) - 1
 MAGIC, HEAD = b"TIDS\x01", struct.Struct("<QQQQ")
 SPACE, LETTER, DIGIT, OTHER, FAR = range(5)
