@@ -118,7 +118,7 @@ def run_merge(spark, sf):
 
 
 def two_way_merge(spark, sf):
-    log, half = version_log(spark, sf), None
+    log = version_log(spark, sf)
     half = last_ts(log) // 2
     newer, older = (resolve.newest(x).select("key", "value") for x in (log.where(F.col("ts") > half), log.where(F.col("ts") <= half)))
     return resolve.merge_runs([newer, older])
@@ -204,8 +204,13 @@ def latest_by_user_typed(spark, sf):
 
 
 def _workdir(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one only where they are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/table-{uuid.uuid4().hex}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
 def _binary(log: DataFrame) -> DataFrame:
