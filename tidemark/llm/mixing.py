@@ -9,7 +9,8 @@ target.
 Nothing is gathered in one task: running sums are made in two levels.  Rows fall into buckets of the
 shuffle order (or slices of the finish time) that hold about ``ROWS_IN_BUCKET`` rows, totals of the
 buckets are summed first within blocks of ``FAN`` buckets and then over blocks, and a window runs only
-inside a bucket.  A source with a third of all rows therefore spreads over all tasks.
+inside a bucket.  A source with a third of all rows therefore spreads over all tasks.  Only the table of
+sources itself, a row each, is ranked in one task.
 
 Null sources are a source of their own, last in order; null texts have size 0.  Documents of size 0
 take nothing.  Equal rows are told apart by nothing and are interchangeable: each is queued.  Null
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, cut, n_words, table
 
-ROWS_IN_BUCKET, FAN, MANY_SOURCES = 2048, 1024, 100_000
+ROWS_IN_BUCKET, FAN, MANY_SOURCES = 512, 256, 100_000
 WEIGHTS, REPEATS, SEED = (5, 2, 1), 3, "mix-1"
 
 
@@ -93,16 +94,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # Slices of the finish time are the global range sort; only totals of slices leave the tasks.
     per_unit = max(1, -(-rows // ROWS_IN_BUCKET))
     copies = copies.withColumn("slice", F.floor(F.col("finish") * per_unit))
-    budget = queued.agg(F.sum("size").alias("budget"))
+    budget = queued.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     slices = totals_before(copies.groupBy("slice").agg(F.sum("size").alias("slice_size")).withColumn("_all", F.lit(0)), ["_all"], "slice", "slice_size")
-    within = slices.crossJoin(F.broadcast(budget)).where((F.col("before") <= F.col("budget")) & (F.col("before") + F.col("slice_size") > F.col("budget")))
-    edge = within.first()
+    edge = slices.where((F.col("before") <= budget) & (F.col("before") + F.col("slice_size") > budget)).first()
     if edge is None:  # the budget takes all there is
         last = (float("inf"), "", 0)
     else:
         by = Window.partitionBy("slice").orderBy("finish", F.col("source").asc_nulls_last(), "served")
         inside = copies.where(F.col("slice") == edge["slice"]).withColumn("run", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)) + edge["before"])
-        first_out = inside.where(F.col("run") > edge["budget"]).orderBy("finish", F.col("source").asc_nulls_last(), "served").first()
+        first_out = inside.where(F.col("run") > budget).orderBy("finish", F.col("source").asc_nulls_last(), "served").first()
         last = (first_out["finish"], first_out["source"], first_out["served"])
     # A copy is in if it stands before the first copy that is out.
     source = F.lit(last[1]).cast("string")
