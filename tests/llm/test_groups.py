@@ -355,3 +355,28 @@ def test_offsets_may_be_judged_a_few_at_a_time(monkeypatch):
                     want.append((i, o))
                 seen.add(w)
     assert whole == sorted(want) and want
+
+
+def test_hot_anchors(spark):
+    """A short line in very many documents, and passages around it, with the limits that make it hot."""
+    rng = random.Random(17)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(80))
+    words = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = words(300)
+    rows = [(i, words(150) + line + words(60 + i % 90)) for i in range(700)]
+    rows += [(1000 + i, words(60) + line + shared[: 150 + i] + words(40)) for i in range(60)] + [(2000 + i, rows[i][1]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(80)
+    hot = suffixes.HOT
+    out = plain_spans(suffixes.dedup(df))
+    assert sorted(out) == sorted(remove_by_hand(rows)) and sum(len(s) for _, _, s, _ in out) > 90
+    data = np.frombuffer("".join(t for _, t in rows[:60]).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in rows[:60]])])
+    marks = suffixes.marked(*suffixes.anchors(data, offsets)[3:5])
+    assert (marks & np.uint64(1)).sum() >= 1 and 80 * suffixes.MANY >= hot  # the line is hot above
+
+
+def test_window_hashes():
+    data = np.frombuffer(b"x" * 50 + b"ab" * 200, np.uint8)
+    item, start, a, b = suffixes.window_hashes(data, np.array([50, 0]), np.array([60, 0]))
+    assert item.tolist() == [0] * 11 + [1] and start.tolist() == [*range(50, 61), 0]
+    assert len(set(zip(a.tolist(), b.tolist(), strict=True))) == 3 and a[0] == a[2] != a[1]

@@ -16,6 +16,11 @@ the last winner: a suffix with the longer one wins unread, and only equal ones a
 on.  Suffixes of one anchor then stand together with what is to their left, and all windows at the same
 offset are compared, hash first and bytes after.
 
+Hot anchors.  A line shorter than a window that very many documents share gives as many different
+suffixes, and almost no repeat.  Chunks mark anchors with ``MANY`` different surroundings, and anchors whose marks add
+up to ``HOT`` are judged otherwise: each of their windows is sent by its own 128-bit hash, one of a kind from a
+chunk.  Such windows spread evenly, and a bucket without hot anchors stays small at any size of corpus.
+
 Everything travels packed, a row for each chunk and bucket.  Copies meet as one suffix a chunk, so a text
 with a million copies is no hot key.  The documents themselves are stored once, compressed, as chunk files
 in the shared folder and never shuffled.  Task attempts write files of their own and name them in the
@@ -39,9 +44,10 @@ from pyspark.sql import functions as F
 
 from .common import U64, bytes_of, cut, mixed, new_path, open_fs, spread, table
 
-WIDTH, GRAM, CHUNK_BYTES, SLICE, ANCHORS_IN_BUCKET, WINDOWS = 100, 36, 8_000_000, 1 << 20, 100_000, 1_000_000
+WIDTH, GRAM, CHUNK_BYTES, SLICE, ANCHORS_IN_BUCKET, WINDOWS, MANY, HOT = 100, 36, 8_000_000, 1 << 20, 100_000, 1_000_000, 8, 512
 NO_ID = (1 << 63) - 1
-_B = 0x9E3779B97F4A7C15
+_B, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+EVEN = U64(2**64 - 2)  # the lowest bit of a hash carries a mark
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -104,7 +110,7 @@ class Chunk:
 
 def anchors(data: np.ndarray, offsets: np.ndarray):
     """For every run of windows that share an anchor: place of the anchor, first and last start of a
-    window, the k-gram's hash, and the row of the document."""
+    window, the k-gram's (even) hash, a hash of all bytes of the windows, and the row of the document."""
     n, span = len(data), WIDTH - GRAM + 1
     some = min(n, SLICE + 2 * WIDTH)
     power, back = _powers(_B, some + 1), _powers(pow(_B, -1, 2**64), some + 1)
@@ -129,12 +135,29 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
         if len(s):
             first = np.flatnonzero(np.concatenate([[True], (np.diff(s) != 1) | (np.diff(p[s]) != 0)]))
             last = np.append(first[1:] - 1, len(s) - 1)
-            out.append((p[s[first]] + at, s[first] + at, s[last] + at, h[p[s[first]]]))
+            whole = mixed((sums[s[last] + WIDTH] - sums[s[first]]) * back[s[first]])
+            out.append((p[s[first]] + at, s[first] + at, s[last] + at, h[p[s[first]]] & EVEN, whole))
     if not out:
         z = np.empty(0, np.int64)
-        return z, z, z, z.astype(U64), z
-    p, lo, hi, h = (np.concatenate(c) for c in zip(*out, strict=True))
-    return p, lo, hi, h, np.searchsorted(offsets, lo, "right") - 1
+        return z, z, z, z.astype(U64), z.astype(U64), z
+    p, lo, hi, h, whole = (np.concatenate(c) for c in zip(*out, strict=True))
+    return p, lo, hi, h, whole, np.searchsorted(offsets, lo, "right") - 1
+
+
+def bucket_of(h: np.ndarray, depth: int) -> np.ndarray:
+    """The bucket of a k-gram.  Anchors have small hashes, being the smallest near by, so hashes are mixed
+    once more to fill buckets evenly."""
+    return (mixed(h & EVEN) >> U64(64 - depth)).astype(np.int64)
+
+
+def marked(h: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """The distinct hashes in order, odd where they have MANY different surroundings."""
+    order = np.lexsort((whole, h))
+    h, whole = h[order], whole[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+    other = np.concatenate([[True], (h[1:] != h[:-1]) | (whole[1:] != whole[:-1])]) if len(h) else np.empty(0, bool)
+    kinds = np.add.reduceat(other.astype(np.int64), first) if len(h) else np.empty(0, np.int64)
+    return h[first] | (kinds >= MANY).astype(U64)
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -338,9 +361,10 @@ def _judge_offsets(offsets: range, whole, sums, suffix, right, prefix, left, gro
     return item[keep], off[keep]
 
 
-def spans_of(item: np.ndarray, off: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """(item, from, to) of the bytes that windows cover, neighbours joined."""
-    start = place[item] - off
+def spans_of(item: np.ndarray, off: np.ndarray, place: np.ndarray, which: np.ndarray | None = None) -> np.ndarray:
+    """(item, from, to) of the bytes that windows cover, neighbours joined; place is given by item, or
+    by which."""
+    start = place[item if which is None else which] - off
     order = np.lexsort((start, item))
     item, start = item[order], start[order]
     if not len(item):
@@ -392,6 +416,38 @@ def judge_bucket(raws: list[bytes], chunks: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate(o) if o else np.empty((0, 3), np.int64) for o in out]
 
 
+# -- windows of hot anchors
+
+DENSE = {"a": U64, "b": U64, "doc": np.int64, "row": np.int64, "place": np.int64}
+
+
+def window_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Item, start and two 64-bit hashes of every window from lo to hi of each item."""
+    size = hi - lo + 1
+    item = np.repeat(np.arange(len(lo)), size)
+    start = np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+    out = []
+    for base in (_B, _B2):
+        h = np.zeros(len(item), U64)
+        for k in range(WIDTH):
+            h *= U64(base)
+            h += data[start + k] + U64(1)
+        out.append(mixed(h))
+    return item, start, *out
+
+
+def later(order: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which entries of order hold the same two hashes as the entry before them."""
+    out = np.zeros(len(order), bool)
+    out[1:] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+    return out
+
+
+def window_spans(row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """(row, from, to) of the bytes that windows at places cover."""
+    return spans_of(row, np.zeros(len(row), np.int64), place, np.arange(len(row)))
+
+
 # -- the job
 
 
@@ -400,7 +456,7 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 HASHES = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("path", pa.string()), ("hashes", pa.binary())])
-RUNS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("path", pa.string()), ("run", pa.binary()), ("spans", pa.binary())])
+RUNS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("path", pa.string()), ("run", pa.binary()), ("dense", pa.binary()), ("spans", pa.binary())])
 SPANS = pa.schema([("chunk", pa.int64()), ("path", pa.string()), ("spans", pa.binary())])
 DDL = {s: ", ".join(f"{f.name} {({'int64': 'bigint'}).get(str(f.type), str(f.type))}" for f in s) for s in (HASHES, RUNS, SPANS)}
 
@@ -418,20 +474,25 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for b in batches:
             for chunk, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 c = Chunk(path)
-                h = np.unique(anchors(c.data, c.offsets)[3])
-                bucket = (h >> U64(64 - depth)).astype(np.int64)
+                h = marked(*anchors(c.data, c.offsets)[3:5])
+                bucket = bucket_of(h, depth)
+                order = np.argsort(bucket, kind="stable")
+                h, bucket = h[order], bucket[order]
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
-                yield _rows([(int(x[0] >> U64(64 - depth)), chunk, path, x.tobytes()) for x in np.split(h, cuts) if len(x)], HASHES)
+                yield _rows([(int(b[0]), chunk, path, x.tobytes()) for b, x in zip(np.split(bucket, cuts), np.split(h, cuts), strict=True) if len(x)], HASHES)
 
     def repeated(t: pa.Table) -> pa.Table:
         packed = t["hashes"].to_pylist()
         h = np.frombuffer(b"".join(packed), U64)
         of = np.repeat(np.arange(len(packed)), [len(x) // 8 for x in packed])
         order = np.argsort(h, kind="stable")
-        s = h[order]
-        twice = np.zeros(len(h) + 1, bool)
-        twice[1:-1] = s[1:] == s[:-1]
-        hit = order[twice[:-1] | twice[1:]]
+        s = h[order] & EVEN
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
+        size = np.diff(np.append(first, len(s)))
+        weight = np.add.reduceat(np.where(h[order] & U64(1), MANY, 1), first) if len(s) else size
+        h = np.empty_like(h)  # a copy, with the mark of the whole corpus
+        h[order] = s | np.repeat(weight >= HOT, size).astype(U64)
+        hit = order[np.repeat(size > 1, size)]
         hit = hit[np.lexsort((h[hit], of[hit]))]
         rows, (which, first) = [], np.unique(of[hit], return_index=True)
         for w, x in zip(which.tolist(), np.split(hit, first[1:]) if len(hit) else [], strict=True):
@@ -441,26 +502,55 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def runs(t: pa.Table) -> pa.Table:
         chunk, path = t["chunk"][0].as_py(), t["path"][0].as_py()
         c = Chunk(path)
-        p, lo, hi, h, row = anchors(c.data, c.offsets)
-        known = np.sort(np.frombuffer(b"".join(t["hashes"].to_pylist()), U64))
+        p, lo, hi, h, _, row = anchors(c.data, c.offsets)
+        known = np.frombuffer(b"".join(t["hashes"].to_pylist()), U64)
+        hot = np.isin(h, known[(known & U64(1)) == 1] & EVEN)
         here = np.sort(h)
-        known = np.union1d(known, here[1:][here[1:] == here[:-1]])
-        want = np.flatnonzero(np.isin(h, known))
-        bucket = (h[want] >> U64(64 - depth)).astype(np.int64)
+        known = np.union1d(known & EVEN, here[1:][here[1:] == here[:-1]])
+        rows, spans = [], [np.empty((0, 3), np.int64)]
+
+        want = np.flatnonzero(np.isin(h, known) & ~hot)
+        bucket = bucket_of(h[want], depth)
         order = np.argsort(bucket, kind="stable")
         want, bucket = want[order], bucket[order]
-        rows, spans = [], [np.empty((0, 3), np.int64)]
         for k in np.split(np.arange(len(want)), np.flatnonzero(np.diff(bucket)) + 1) if len(want) else []:
             w = want[k]
             raw, own = make_run(c, p[w], lo[w], hi[w], row[w])
-            rows.append([int(bucket[k[0]]), chunk, path, raw, None])
+            rows.append([int(bucket[k[0]]), chunk, path, raw, None, None])
             spans.append(own)
+
+        if hot.any():
+            w = np.flatnonzero(hot)
+            item, start, a, b = window_hashes(c.data, lo[w], hi[w])
+            of = row[w][item]
+            doc, place = c.ids[of], start - c.offsets[of]
+            order = np.lexsort((place, of, doc, b, a))
+            again = later(order, a, b)
+            spans.append(window_spans(of[order[again]], place[order[again]]))
+            order = order[~again]  # in order of a, so of the bucket as well
+            bucket = (a[order] >> U64(64 - depth)).astype(np.int64)
+            for x in np.split(order, np.flatnonzero(np.diff(bucket)) + 1):
+                rows.append([int(a[x[0]] >> U64(64 - depth)), chunk, path, None, pack(a=a[x], b=b[x], doc=doc[x], row=of[x], place=place[x]), None])
         if rows:
-            rows[chunk % len(rows)][4] = np.concatenate(spans).astype(np.int64).tobytes()
+            rows[chunk % len(rows)][5] = np.concatenate(spans).astype(np.int64).tobytes()
         return pa.Table.from_batches([_rows(rows, RUNS)])
 
     def judged(t: pa.Table) -> pa.Table:
-        found = judge_bucket(t["run"].to_pylist(), t["chunk"].to_numpy())
+        chunks, runs, dense = t["chunk"].to_numpy(), t["run"].to_pylist(), t["dense"].to_pylist()
+        found = [np.empty((0, 3), np.int64)] * len(runs)
+        k = [i for i, r in enumerate(runs) if r]
+        for i, x in zip(k, judge_bucket([runs[i] for i in k], chunks[k]), strict=True):
+            found[i] = x
+        k = [i for i, d in enumerate(dense) if d]
+        if k:
+            parts = [unpack(dense[i], **DENSE) for i in k]
+            of = np.repeat(np.array(k), [len(x[0]) for x in parts])
+            a, b, doc, row, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((place, row, chunks[of], doc, b, a))
+            gone = order[later(order, a, b)]
+            for i in np.unique(of[gone]).tolist():
+                mine = gone[of[gone] == i]
+                found[i] = window_spans(row[mine], place[mine])
         rows = []
         for chunk, path, own, more in zip(t["chunk"].to_pylist(), t["path"].to_pylist(), t["spans"].to_pylist(), found, strict=True):
             if own or len(more):
