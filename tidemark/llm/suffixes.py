@@ -467,7 +467,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     manifest = store(docs, new_path(spark, "suffix-store"), id_col, text_col)
     total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     wanted = max(total // ((WIDTH - GRAM + 2) // 2) // ANCHORS_IN_BUCKET, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    depth = max(1, math.ceil(math.log2(max(wanted, 2))))
+    depth = max(1, round(math.log2(max(wanted, 2))))
+    # A task for a chunk, up to a limit: the rows are small, the work on a chunk is not.
+    tasks = max(1, min(4096, manifest.count()))
     chunks = spread(manifest.select("chunk", "path"))
 
     def hashes(batches):
@@ -587,10 +589,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     first = chunks.mapInArrow(hashes, DDL[HASHES]).groupBy("bucket").applyInArrow(repeated, DDL[HASHES])
     every = manifest.select(F.lit(-1).cast("long").alias("bucket"), "chunk", "path", F.lit(b"").alias("hashes"))
-    sent = first.unionByName(every).groupBy("chunk").applyInArrow(runs, DDL[RUNS])
+    sent = first.unionByName(every).repartition(tasks, "chunk").groupBy("chunk").applyInArrow(runs, DDL[RUNS])
     spans = sent.groupBy("bucket").applyInArrow(judged, DDL[SPANS])
     every = manifest.select("chunk", "path", F.lit(b"").alias("spans"))
-    out = spans.unionByName(every).groupBy("chunk").applyInArrow(removed, "doc_id bigint, n_bytes bigint, spans array<struct<from:bigint,to:bigint>>, kept binary")
+    out = spans.unionByName(every).repartition(tasks, "chunk").groupBy("chunk").applyInArrow(removed, "doc_id bigint, n_bytes bigint, spans array<struct<from:bigint,to:bigint>>, kept binary")
     return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)).cast(kind))
 
 
