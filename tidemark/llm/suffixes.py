@@ -534,7 +534,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             for x in np.split(order, np.flatnonzero(np.diff(bucket)) + 1):
                 rows.append([int(a[x[0]] >> U64(64 - depth)), chunk, path, None, pack(a=a[x], b=b[x], doc=doc[x], row=of[x], place=place[x]), None])
         if rows:
-            rows[chunk % len(rows)][5] = np.concatenate(spans).astype(np.int64).tobytes()
+            # Any bucket hands them on; the hash keeps chunks from choosing the same one.
+            rows[int(mixed(np.array([chunk]))[0]) % len(rows)][5] = np.concatenate(spans).astype(np.int64).tobytes()
         return pa.Table.from_batches([_rows(rows, RUNS)])
 
     def judged(t: pa.Table) -> pa.Table:
