@@ -60,17 +60,23 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(np.packbits(2 * count > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed bigint) of every row."""
+def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed bigint) and on request the text's MD5 of every row."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).fill_null("")
+            texts, others = b.column(1).fill_null(""), [b.column(0), *b.columns[2:]]
             for at, to in text_slices(texts, SLICE_BYTES):
                 fps = np.array([fingerprint(t.encode(), words) for t in texts.slice(at, to - at).to_pylist()], U64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(fps)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(at, to - at) for c in others], pa.array(fps)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id bigint, fp bigint")
+    more = [_digest(text_col)] if digest else []
+    names = ["doc_id", *["digest"] * digest, "fp"]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col, *more).mapInArrow(run, "doc_id bigint, " + "digest string, " * digest + "fp bigint")
+
+
+def _digest(text_col: str) -> F.Column:
+    return F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest")
 
 
 # -- the pivot table
@@ -190,12 +196,18 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return filed.mapInArrow(run, "a bigint, b bigint")
 
 
-def link(docs: DataFrame, bits: int = BITS, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and component (the smallest doc_id reachable) of every row."""
-    fps = cut(fingerprints(docs, words, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "simhash")
+def _labelled(docs: DataFrame, bits: int, words: int, id_col: str, text_col: str, digest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of every row, null ids as NO_ID; and of each distinct fingerprint fp its rep (the
+    smallest doc_id) and the label of its component."""
+    fps = cut(fingerprints(docs, words, id_col, text_col, digest).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "simhash")
     reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     found = components(links(reps, bits))
-    named = cut(reps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("label")), "simhash-labels")
+    return fps, cut(reps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("label")), "simhash-labels")
+
+
+def link(docs: DataFrame, bits: int = BITS, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp and component (the smallest doc_id reachable) of every row."""
+    fps, named = _labelled(docs, bits, words, id_col, text_col)
     least = cut(named.groupBy(F.col("label").alias("_l")).agg(F.min("rep").alias("component")), "simhash-least")
     of = named.join(least, F.col("label") == F.col("_l")).select(F.col("fp").alias("_f"), "component")
     back = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
@@ -203,14 +215,17 @@ def link(docs: DataFrame, bits: int = BITS, words: int = WORDS, id_col: str = "d
 
 
 def keep_one(docs: DataFrame, bits: int = BITS, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their component; of equal ids one row stays."""
-    stay = link(docs, bits, words, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component")))
-    stay = cut(stay.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "simhash-stay")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_mine"))
-    kept = rows.join(stay.select("_id").hint("merge"), F.col("_mine").eqNullSafe(F.col("_id")), "left_semi")
-    kept = kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
-    # Ids are as a rule unique; only if one is not does the text go through a second shuffle.
-    return kept if stay.where("_n > 1").isEmpty() else kept.dropDuplicates([id_col])
+    """One row of docs for each component: that with the smallest id, of equal ids the text with the smallest MD5."""
+    fps, named = _labelled(docs, bits, words, id_col, text_col, digest=True)
+    least = fps.groupBy("fp").agg(F.min(F.struct("doc_id", "digest")).alias("r"))
+    least = named.select(F.col("fp").alias("_f"), "label").join(least, F.col("_f") == F.col("fp")).groupBy("label").agg(F.min("r").alias("r"))
+    stay = cut(least.select(F.col("r.doc_id").alias("_id"), F.col("r.digest").alias("_digest")), "simhash-stay")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_mine"), _digest(text_col).alias("_text"))
+    kept = rows.join(stay.hint("merge"), (F.col("_mine") == F.col("_id")) & (F.col("_text") == F.col("_digest")), "left_semi")
+    # Only if rows with one id and text occur do the texts go through a second shuffle.
+    if not fps.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_mine", "_text"])
+    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
