@@ -47,17 +47,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def local_labels(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
-    """Smallest member of each of n items' component under the links (i, j), starting from label."""
-    label = np.arange(n) if label is None else label
+    """Smallest member of each of n items' component under the links (i, j), and under those that made label."""
+    top = np.arange(n)
+    if label is not None:  # links join whole components: work on their names
+        i, j = label[i], label[j]
     while len(i):
-        low = np.minimum(label[i], label[j])
-        old = label.copy()
-        np.minimum.at(label, old[i], low)
-        np.minimum.at(label, old[j], low)
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        while (label[label] != label).any():
-            label = label[label]
-        if (label == old).all():
+        low = np.minimum(top[i], top[j])
+        old = top.copy()
+        for to in (old[i], old[j], i, j):
+            np.minimum.at(top, to, low)
+        while (top[top] != top).any():
+            top = top[top]
+        if (top == old).all():
             break
-    return label
+    return top if label is None else top[label]

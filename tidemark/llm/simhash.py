@@ -2,18 +2,20 @@
 
 A fingerprint's row in the pivot table holds its Hamming distances to ``PIVOTS`` reference fingerprints.
 By the triangle inequality two fingerprints that differ in ``bits`` places differ by at most that much in
-every coordinate.  The table serves twice:
+every coordinate.
 
-* Candidates.  The 64 places fall into ``BLOCKS`` blocks, and the table is kept by block: distances of
-  the block's bits to the references' bits.  Fingerprints with at most 3 different bits agree
-  on 3 of the 6 blocks at least, and there on all coordinates.  So every fingerprint is filed
-  under its coordinates on each choice of 3 blocks (20 keys), and no pair within the limit is missed.
-* Discarding.  Within a key, pairs whose coordinates differ by more than the limit are dropped, first
-  by a sorted window over the first coordinate, then by the maximum over the others, and the survivors are
-  verified on the fingerprints.
+* Keys.  Distances to references alone cannot part a corpus: nearly all fingerprints lie 24 to 40 bits from
+  any reference.  So fingerprints are first dealt out by blocks of their bits: within 3 bits they agree
+  on one of 4 blocks, on 2 of 5, on 3 of 6, and are filed under every choice of so many blocks.  The number of
+  fingerprints picks the shape that keeps keys small; each misses no pair.
+* Candidates.  Rows under a key are sorted by their first coordinate, and a row's candidates are those in the
+  range that the limit allows.
+* Discarding.  Pairs whose largest difference over all coordinates is above the limit go, and the survivors
+  are verified on the fingerprints.  This is the same for every number of rows under a key.
 
-Only distinct fingerprints are filed.  Of a key's links only a spanning forest leaves the task, never the
-pairs of a group; connected components then run over the whole corpus.
+A key of more than ``BLOCK`` rows is dealt out as pairs of parts.  Only distinct fingerprints are filed.  Of a
+key's links only a spanning forest leaves the task, never the pairs of a group; connected components then run
+over the whole corpus.
 
 Null and empty texts have fingerprint zero.  Equal rows link.  Null ids count as the largest id and
 come back as null.  Rows with equal doc_id and other texts are documents of their own, linked by fingerprint
@@ -31,33 +33,46 @@ from pyspark.sql import functions as F
 
 from .common import U64, cut, mixed, table, text_slices
 from .graph import components, local_labels
+from .pairs import dealt, whole_keys, windows
 
-BITS, WORDS, PIVOTS, BLOCKS, AGREE = 3, 3, 16, (11, 11, 11, 11, 10, 10), 3
-SLICE_BYTES, SMALL_RUN, ROWS = 4_000_000, 128, 1024
+BITS, WORDS, PIVOTS = 3, 3, 16
+#: (blocks, blocks that agree within BITS bits) and the rows by chance under a key that call for the next one.
+SHAPES, CROWD = ((4, 1), (5, 2), (6, 3)), 1024
+SLICE_BYTES, BLOCK = 4_000_000, 1024
 NO_ID = (1 << 63) - 1
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Majority bits of the XXH64 (seed 42) of a text's word shingles."""
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """The XXH64 (seed 42) of a text's word shingles, in order, repeats included; of fewer words the whole
+    sequence, of none nothing."""
     import xxhash
 
     parts = text.lower().split()
     if not parts:
-        return 0
+        return np.empty(0, U64)
     joined = b" ".join(parts)
     if len(parts) < words:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        long = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-        ends = np.cumsum(long) - 1
-        starts = (ends - long + 1)[: len(parts) - words + 1].tolist()
-        f = xxhash.xxh64_intdigest
-        hashes = [f(joined[s:e], 42) for s, e in zip(starts, ends[words - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
-    count = np.zeros(64, np.int64)
-    for at in range(0, len(h), 65_536):
-        count += np.unpackbits(h[at : at + 65_536], axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * count > len(h), bitorder="little").view("<u8")[0])
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], U64)
+    long = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+    ends = np.cumsum(long) - 1
+    starts = (ends - long + 1)[: len(parts) - words + 1].tolist()
+    f = xxhash.xxh64_intdigest
+    return np.array([f(joined[s:e], 42) for s, e in zip(starts, ends[words - 1 :].tolist(), strict=True)], U64)
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """For rows of 64-bit words: the words whose bits are set in over half of the rows."""
+    count, bits = np.zeros(64 * h.shape[1], np.int64), np.ascontiguousarray(h, "<u8").view(np.uint8)
+    for at in range(0, len(h), 255):  # so many fit a byte's sum
+        part = bits[at : at + 255]
+        count += np.add.reduce(np.unpackbits(part.reshape(-1), bitorder="little").reshape(len(part), -1), 0, np.uint8)
+    return np.packbits(2 * count > len(h), bitorder="little").view("<u8")
+
+
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """Majority bits of the hashes of a text's word shingles."""
+    h = shingles(text, words)
+    return int(majority(h[:, None])[0]) if len(h) else 0
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -86,76 +101,39 @@ def pivots() -> np.ndarray:
     return mixed(np.arange(1, PIVOTS + 1, dtype=U64))
 
 
-def block_codes() -> list[tuple[int, np.ndarray]]:
-    """For each block its shift and, for every value of its bits, the number of the row of distances
-    to the references' bits there."""
-    out, shift = [], 0
-    for width in BLOCKS:
-        values = np.arange(1 << width, dtype=U64)
-        refs = (pivots() >> U64(shift)) & U64((1 << width) - 1)
-        rows = np.bitwise_count(values[:, None] ^ refs)
-        out.append((shift, np.unique(rows, axis=0, return_inverse=True)[1].astype(np.int64).reshape(-1)))
-        shift += width
-    return out
-
-
-def keys_of(fps: np.ndarray) -> np.ndarray:
-    """The keys of each fingerprint, one column for each choice of blocks."""
-    code = []
-    for (shift, codes), width in zip(block_codes(), BLOCKS, strict=True):
-        code.append(codes[((fps >> U64(shift)) & U64((1 << width) - 1)).astype(np.int64)])
-    out = [((t << 33) | (code[a] << 22) | (code[b] << 11) | code[c]) for t, (a, b, c) in enumerate(combinations(range(len(BLOCKS)), AGREE))]
-    return np.stack(out, 1)
+def shape(n: int) -> tuple[int, int]:
+    """Number of blocks and of those that agree, for n fingerprints."""
+    return next((s for s in SHAPES if n >> 64 * s[1] // s[0] <= CROWD), SHAPES[-1])
 
 
-def near(fps: np.ndarray, dist: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs (i, j) those within bits: by coordinates first, then by the fingerprints."""
-    for r in range(dist.shape[1]):
-        ok = np.abs(dist[i, r] - dist[j, r]) <= bits
-        i, j = i[ok], j[ok]
-    ok = np.bitwise_count(fps[i] ^ fps[j]) <= bits
-    return i[ok], j[ok]
+def keys_of(fps: np.ndarray, blocks: int = 6, agree: int = 3) -> np.ndarray:
+    """The keys of each fingerprint, one column for each choice of blocks: its number and their bits."""
+    edge = [64 * k // blocks for k in range(blocks + 1)]
+    part = [(fps >> U64(a)) & U64((1 << b - a) - 1) for a, b in zip(edge, edge[1:], strict=False)]
+    out = []
+    for number, picked in enumerate(combinations(range(blocks), agree)):
+        key = np.full(len(fps), number, U64)
+        for k in picked:
+            key = key << U64(edge[k + 1] - edge[k]) | part[k]
+        out.append(key.view(np.int64))
+    return np.stack(out, 1)
 
 
 def forest(keys: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
     """For rows sorted by key: each row's representative row in its component within its key."""
-    n = len(keys)
     dist = np.bitwise_count(fps[:, None] ^ pivots()).astype(np.int8)
-    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    size = np.diff(np.append(edge, n))
-    label = np.arange(n)
-    longest = int(size[size <= SMALL_RUN].max(initial=1))
-    i = np.flatnonzero(np.repeat(size <= SMALL_RUN, size))
-    left, right = [], []
-    for d in range(1, longest):
-        i = i[i + d < n]
-        i = i[keys[i] == keys[i + d]]
-        if not len(i):
-            break
-        a, b = near(fps, dist, i, i + d, bits)
-        left.append(a)
-        right.append(b)
-    if left:
-        label = local_labels(n, np.concatenate(left), np.concatenate(right))
-    for start, m in zip(edge[size > SMALL_RUN].tolist(), size[size > SMALL_RUN].tolist(), strict=True):
-        order = start + np.argsort(dist[start : start + m, 0], kind="stable")
-        first, run = dist[order, 0].astype(np.int64), np.arange(m)
-        for at in range(0, m, ROWS):
-            to = min(at + ROWS, m)
-            upto = int(np.searchsorted(first, first[to - 1] + bits, "right"))
-            for lo in range(at, upto, 4 * ROWS):
-                hi = min(lo + 4 * ROWS, upto)
-                x, y = fps[order[at:to]], fps[order[lo:hi]]
-                far = np.zeros((to - at, hi - lo), bool)
-                for r in range(0, PIVOTS, 4):  # the maximum of four coordinates decides most pairs
-                    far |= np.abs(dist[order[at:to], r][:, None] - dist[order[lo:hi], r][None, :]) > bits
-                a, b = np.nonzero(~far)
-                keep = (b + lo > a + at) & (run[a + at] != run[b + lo])
-                a, b = a[keep], b[keep]
-                ok = np.bitwise_count(x[a] ^ y[b]) <= bits
-                if ok.any():
-                    run = local_labels(m, a[ok] + at, b[ok] + lo, run)
-        label[order] = order[run]
+    place = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]])) << 8 | dist[:, 0]
+    order = np.argsort(place, kind="stable")
+    place, dist, fps = place[order], np.ascontiguousarray(dist[order].T), fps[order]
+    run = np.arange(len(keys))
+    for i, j in windows(place, place + bits):
+        for coordinate in dist[1:]:
+            ok = np.abs(coordinate[i] - coordinate[j]) <= bits
+            i, j = i[ok], j[ok]
+        ok = np.bitwise_count(fps[i] ^ fps[j]) <= bits
+        run = local_labels(len(run), i[ok], j[ok], run)
+    label = np.empty_like(run)
+    label[order] = order[run]
     return label
 
 
@@ -163,37 +141,22 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints fp that connect what links within bits."""
     if bits > BITS:
         raise ValueError(f"keys are complete up to {BITS} bits")
+    how = shape(fps.count())
 
     def file(batches):
         for b in batches:
             fps = b.column(0).to_numpy().view(U64)
-            keys = keys_of(fps)
+            keys = keys_of(fps, *how)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(fps.view(np.int64), keys.shape[1]))], names=["key", "fp"])
 
-    def edges(rows: np.ndarray) -> pa.RecordBatch:
-        rows = np.ascontiguousarray(rows)
-        label = forest(rows[0], rows[1].view(U64), bits) if rows.shape[1] else np.empty(0, np.int64)
-        own = label != np.arange(len(label))
-        return pa.RecordBatch.from_arrays([pa.array(rows[1][own]), pa.array(rows[1][label[own]])], names=["a", "b"])
-
     def run(batches):
-        parts: list[np.ndarray] = []  # rows whose last key may go on
-        for b in batches:
-            rows = np.stack([c.to_numpy() for c in b.columns])
-            if not rows.shape[1]:
-                continue
-            last = int(np.searchsorted(rows[0], rows[0, -1], "left"))
-            if last == 0 and parts and parts[-1][0, -1] == rows[0, 0]:
-                parts.append(rows)
-                continue
-            yield edges(np.concatenate([*parts, rows[:, :last]], 1))
-            parts = [rows[:, last:]]
-        if parts:
-            yield edges(np.concatenate(parts, 1))
-
-    filed = fps.select("fp").mapInArrow(file, "key bigint, fp bigint")
-    filed = filed.repartition(F.col("key")).sortWithinPartitions("key", "fp")
-    return filed.mapInArrow(run, "a bigint, b bigint")
+        for keys, fps in whole_keys(batches):
+            label = forest(keys, fps.view(U64), bits)
+            own = label != np.arange(len(label))
+            yield pa.RecordBatch.from_arrays([pa.array(fps[own]), pa.array(fps[label[own]])], names=["a", "b"])
+
+    filed = dealt(fps.select("fp").mapInArrow(file, "key bigint, fp bigint"), "fp", BLOCK)
+    return filed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
 
 
 def _labelled(docs: DataFrame, bits: int, words: int, id_col: str, text_col: str, digest: bool = False) -> tuple[DataFrame, DataFrame]:
