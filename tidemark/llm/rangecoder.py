@@ -1,99 +1,267 @@
 """Adaptive context-mixing range coder for token ids.
 
-A stream of ids is cut into blocks.  Every block starts from an empty model and has a CRC-32, so it can be
-decoded alone.  The model predicts each id from the two before it (order 2), the one before it (order 1)
-and the block so far (order 0).  The coder first says whether a prediction holds; the odds of that mix two
-adaptive tables, one addressed by which of the three predictions agree and one by what held for the last
-ids.  Then it says which prediction, or else the number of bits of the id, by an
-adaptive cumulative table, and its bits below the first.
+A stream of ids is cut into blocks that can each be decoded alone, given the stream's prior: a table of how
+often each id occurs and which ids follow it at least twice.  Every block starts from an empty model, has a
+CRC-32, and codes an id in up to three steps.
+
+1. *Does the best prediction hold?*  Order 2 (the two ids before) and order 1 (the one before) each
+   keep, by context, an id and a count of confidence that grows when the id comes and halves when another does;
+   the more confident of them is the prediction.  Its odds are a logistic mix, with weights that the block learns,
+   of three adaptive odds: by both confidences and whether the orders agree, by what held for the last ids, and by
+   the share the prior gives the prediction after the id before it.
+2. *Else, does the prior know the id as a follower of the one before?*  If so, the prior's frequencies of
+   followers (order 1) code it.
+3. *Else* order 0: one of ``BINS`` classes of ids, by an adaptive cumulative table, and the id
+   within its class by the prior's frequencies.  Ids of every class stay possible.
 
 The arithmetic is a carry-less range coder with 64 bits of state that puts out 16 bits at a time.  All
-totals are powers of two, so encoding divides nothing, and an id shrinks a range by 40 bits at most, so one
-renormalisation an id is enough.  Python is too slow for an id at a time: up to ``LANES`` blocks advance
-together, one id each, as numpy arrays.
+totals are powers of two, so encoding divides nothing, and an id shrinks a range by 44 bits at most, so one
+renormalisation an id is enough.  All model arithmetic is in integers, so every machine decodes alike.  Python is
+too slow for an id at a time: all blocks of a stream advance together, one id each, as numpy arrays.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 
-BLOCK, LANES = 2048, 8192
-SLOTS, RATE = 512, 5
+BLOCK, BINS = 2048, 32
+SLOTS1, SLOTS2, RATE, SURE = 512, 1024, 5, 15
 U = np.uint64
 TOP, LEAST = U(1 << 48), U(1 << 44)
 MASK, WORD = LEAST - U(1), U(16)
-#: Number of bits of every id.
-BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.intp)
-#: Where a cumulative table of 17 symbols and total 4096 moves when a symbol comes; neighbours differ by 1
+#: Where a cumulative table of BINS symbols and total 4096 moves when a symbol comes; neighbours differ by 1
 #: at least, which keeps every symbol possible.
-AIM = np.array([[j if j <= s else 4096 - (17 - j) for j in range(18)] for s in range(17)], np.int16)
-
-
-def _step(way: np.ndarray) -> np.ndarray:
-    """A share of the way to 0 or 4096, towards zero, so that odds stay between 31 and 4065."""
-    return (way + (way >> 31 & 31)) >> RATE
-
-
-def _nearer(odds: np.ndarray, yes: np.ndarray) -> np.ndarray:
-    return odds + _step((yes << np.int32(12)) - odds)
+AIM = np.array([[j if j <= s else 4096 - (BINS - j) for j in range(BINS + 1)] for s in range(BINS)], np.int16)
+
+
+def _logistic() -> tuple[np.ndarray, np.ndarray]:
+    """Odds of 4096 for every stretched value + 2048, in 256ths, and the stretched value of all odds.  Lines join
+    33 rounded points, so that no machine's last digit matters."""
+    points = np.array([min(max(round(4096 / (1 + math.exp(8 - k / 2))), 1), 4095) for k in range(33)])
+    at = np.arange(4096)
+    low, part = points[at >> 7], at & 127
+    squash = (low * (128 - part) + points[(at >> 7) + 1] * part + 64) >> 7
+    return squash.astype(np.int32), (np.searchsorted(squash, np.arange(4096)).clip(1, 4095) - 2048).astype(np.int32)
+
+
+SQUASH, STRETCH = _logistic()
+
+
+# -- the prior
+
+
+class Prior:
+    """Frequencies of ids and of followers, as the head of a stream says them."""
+
+    def __init__(self, raw: bytes) -> None:
+        raw = zlib.decompress(raw)
+        n, m = np.frombuffer(raw, "<u4", 2).tolist()
+        at = 8
+        self.ids = np.cumsum(np.frombuffer(raw, "<u2", n, at).astype(np.int64)).astype(np.int32)
+        level0 = np.frombuffer(raw, np.uint8, n, at := at + 2 * n)
+        followers = np.frombuffer(raw, "<u2", n, at := at + n).astype(np.int64)
+        step = np.frombuffer(raw, "<u2", m, at := at + 2 * n).astype(np.int64)
+        level1 = np.frombuffer(raw, np.uint8, m, at + 2 * m)
+        self.rank = np.zeros(1 << 16, np.int32)
+        self.rank[self.ids] = np.arange(n)
+        # Order 0: classes in order of frequency, of about equal weight and numbers of ids.
+        weight = _freq(level0)
+        order = np.lexsort((np.arange(n), -weight))
+        share = weight[order] / max(weight.sum(), 1) + 1 / max(n, 1)
+        place = np.minimum((np.cumsum(share) - share) * (BINS / 2), BINS - 1).astype(np.int64)
+        self.bin, self.start0, self.width0 = (np.zeros(max(n, 1), np.int32) for _ in range(3))
+        self.lookup = np.zeros((BINS, 4096), np.int32)
+        for k in range(BINS):
+            of = order[place == k]
+            if len(of):
+                width = _scaled(weight[of], 4096)
+                self.bin[of], self.width0[of], self.start0[of] = k, width, np.cumsum(width) - width
+                self.lookup[k] = np.repeat(of, width)
+        # Order 1: rows of followers, each row's widths together 65 536.
+        self.first = np.concatenate([[0], np.cumsum(followers)])
+        row = np.repeat(np.arange(n), followers)
+        follower = np.cumsum(step) - np.repeat((np.cumsum(step) - step)[np.minimum(self.first[:-1], max(m - 1, 0))], followers) if m else step
+        self.key = (row << 16 | follower).astype(np.int64)
+        self.follower = follower.astype(np.int32)
+        self.width1 = np.zeros(m, np.int32)
+        weight = _freq(level1)
+        if m:
+            some = np.flatnonzero(followers)
+            total = np.add.reduceat(weight, self.first[some])
+            count = followers[some]
+            whole = np.repeat(total, count)
+            width = 1 + weight * np.repeat(65536 - count, count) // whole
+            spare = 65536 - np.add.reduceat(width, self.first[some])
+            width[self.first[some]] += spare
+            self.width1 = width.astype(np.int32)
+        self.cum = np.concatenate([[0], np.cumsum(self.width1, dtype=np.int64)])
+        self.base = self.cum[self.first[:-1]] if n else np.zeros(1, np.int64)
+        self.start1 = (self.cum[:-1] - self.base[row]).astype(np.int32) if m else np.zeros(0, np.int32)
+        self.known, self.coarse = np.append(followers > 0, False), None
+        # Bit lengths of followers' widths, by a hash of the pair.
+        self.mask = (1 << max(10, (4 * m).bit_length())) - 1
+        self.octave = np.zeros(self.mask + 1, np.int32)
+        self.guess = np.zeros(self.mask + 1, np.int32)  # a follower's place by a hash of the pair
+        self.guess[self.key * 0x9E3779B1 >> 12 & self.mask] = np.arange(m)
+        if m:
+            np.maximum.at(self.octave, (row * 40503 + follower) & self.mask, np.minimum(np.frexp(self.width1.astype(float))[1], 15))
+
+    def followers_at(self, before: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Places of the followers in whose widths the values of 65 536 lie."""
+        if not len(self.follower):
+            raise ValueError("a damaged block asks for followers, and the prior has none")
+        if self.coarse is None:  # only decoding needs it: the place of every 256th value of a row
+            some = np.repeat(self.base, 256) + np.tile(np.arange(256) << 8, len(self.base))
+            self.coarse = np.minimum(np.searchsorted(self.cum, some, "right") - 1, len(self.follower) - 1).astype(np.int32)
+        before = np.minimum(before, len(self.base) - 1)
+        at, value = self.coarse.take((before << 8) + (value >> 8)), self.base.take(before) + value
+        go = np.arange(len(at))
+        for _ in range(4):
+            go = go[self.cum.take(at[go] + 1) <= value[go]]
+            if not len(go):
+                return at
+            at[go] += 1
+        at[go] = np.minimum(np.searchsorted(self.cum, value[go], "right") - 1, len(self.follower) - 1)
+        return at
+
+    def share(self, before: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """A class, 0 to 15, of the share that the prior gives x after before."""
+        return self.octave.take((before.astype(np.int64) * 40503 + x) & self.mask)
+
+    def places(self, before: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Where the pairs of ranks are among the followers, or -1."""
+        if not len(self.key):
+            return np.full(len(x), -1, np.int32)
+        key = before.astype(np.int64) << 16 | x
+        at = self.guess.take(key * 0x9E3779B1 >> 12 & self.mask)
+        off = np.flatnonzero(self.key.take(at) != key)
+        sure = np.minimum(np.searchsorted(self.key, key[off]), len(self.key) - 1)
+        at[off] = np.where(self.key.take(sure) == key[off], sure, -1)
+        return at
+
+
+def _level(count: np.ndarray) -> np.ndarray:
+    """Counts as steps of an eighth of an octave."""
+    return np.minimum(np.round(np.log2(np.maximum(count, 1)) * 8), 255).astype(np.uint8)
+
+
+#: What a step stands for, as integers.
+FREQ = np.array([max(1, round(2 ** (k / 8))) for k in range(256)], np.int64)
+
+
+def _freq(level: np.ndarray) -> np.ndarray:
+    return FREQ[level]
+
+
+def _scaled(weight: np.ndarray, total: int) -> np.ndarray:
+    width = 1 + weight * (total - len(weight)) // weight.sum()
+    width[0] += total - width.sum()
+    return width
+
+
+def prior_of(ids: np.ndarray) -> bytes:
+    count = np.bincount(ids, minlength=1 << 16)
+    known = np.flatnonzero(count)
+    rank = np.zeros(1 << 16, np.uint32)
+    rank[known] = np.arange(len(known))
+    r = rank[ids]
+    pairs = np.sort(r[:-1] << np.uint32(16) | r[1:])
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(pairs)))
+    pairs, size = pairs[first[size > 1]].astype(np.int64), size[size > 1]
+    row, follower = pairs >> 16, pairs & 0xFFFF
+    step = follower.copy()
+    same = np.flatnonzero(row[1:] == row[:-1]) + 1
+    step[same] -= follower[same - 1]
+    head = np.array([len(known), len(pairs)], "<u4").tobytes()
+    body = [np.diff(known, prepend=0).astype("<u2"), _level(count[known]), np.bincount(row, minlength=len(known)).astype("<u2"), step.astype("<u2"), _level(size)]
+    return zlib.compress(head + b"".join(a.tobytes() for a in body), 6)
+
+
+# -- the adaptive model
+
+
+def _nearer(odds: np.ndarray, aim: np.ndarray, rate: int = RATE) -> np.ndarray:
+    """A share of the way to aim, 0 or 4096, towards zero, so that odds stay between 2^rate - 1 and the rest."""
+    way = aim - odds
+    way += way >> 31 & (1 << rate) - 1
+    way >>= rate
+    way += odds
+    return way
 
 
 class _Model:
     """The adaptive state of n blocks; both directions run the same steps."""
 
-    def __init__(self, n: int) -> None:
-        lane = np.arange(n)
-        self.slots, self.at18 = lane * SLOTS, lane * 18
-        # Places of the present contexts in each table; they follow from the last two ids.
-        self.i1, self.i2 = self.slots.copy(), self.slots.copy()
-        self.t1, self.t2 = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)
-        self.p0, self.q0 = np.zeros(n, np.int32), np.zeros(n, np.int8)
-        self.pa, self.pb = np.full(n * 16, 3400, np.int32), np.full(n * 16, 3400, np.int32)
-        self.pk, self.pj = np.full(n * 16, 2048, np.int32), np.full(n, 2048, np.int32)
-        self.cdf = np.tile((np.arange(18) * 240 + np.maximum(0, np.arange(18) - 16) * 16).astype(np.int16), (n, 1))
-        self.cdf[:, 17] = 4096
-        self.at16, self.past, self.last = lane * 16, np.zeros(n, np.intp), np.zeros(n, np.int32)
-
-    def predict(self, m: int) -> None:
-        """Predictions g2, g1, g0 for the first m blocks and the odds (of 8192) that none holds."""
-        self.g1, self.g2, self.g0 = self.t1.take(self.i1[:m]), self.t2.take(self.i2[:m]), self.p0[:m]
-        self.ia = self.at16[:m] + (self.g2 == self.g1)
-        self.ia += (self.g1 == self.g0) << 1
-        self.ib = self.at16[:m] + self.past[:m]
-        self.xa, self.xb = self.pa.take(self.ia), self.pb.take(self.ib)
-        self.odds = (self.xa + self.xb).astype(U)
-
-    def learn(self, m: int, x: np.ndarray, miss: np.ndarray, bits: np.ndarray) -> None:
-        up = miss << np.int32(12)
-        self.pa[self.ia] = self.xa + _step(up - self.xa)
-        self.pb[self.ib] = self.xb + _step(up - self.xb)
-        cdf, move = self.cdf[:m], AIM.take(bits, 0)
-        move -= cdf
-        move >>= RATE
-        cdf += move
-        i1, i2, last, past = self.i1[:m], self.i2[:m], self.last[:m], self.past[:m]
-        self.t1[i1] = x
-        self.t2[i2] = x
-        # Slots: low bits of the id; low bits of a mix of the last two.
-        np.add(self.slots[:m], x & SLOTS - 1, out=i1)
-        last *= 11
-        last += x
-        np.add(self.slots[:m], last & SLOTS - 1, out=i2)
-        last[:] = x
-        # A majority vote over the block so far.
-        q0 = self.q0[:m]
-        q0 += (self.g0 == x) * np.int8(2) - np.int8(1)
-        np.minimum(q0, 100, out=q0)
-        new = np.flatnonzero(q0 < 0)
-        self.p0[new], q0[new] = x[new], 1
+    def __init__(self, n: int, prior: Prior) -> None:
+        lane = np.arange(n, dtype=np.int32)
+        self.prior = prior
+        self.slots1, self.slots2 = lane * SLOTS1, lane * SLOTS2
+        self.i1, self.i2 = self.slots1.copy(), self.slots2.copy()
+        # Entries: rank of the predicted id and its confidence in the low 4 bits.
+        self.t1, self.t2 = np.zeros(n * SLOTS1, np.int32), np.zeros(n * SLOTS2, np.int32)
+        self.odds = [np.full(n * 512, 1200, np.int32), np.full(n * 64, 1200, np.int32), np.full(n * 16, 1200, np.int32)]
+        self.weights = [np.full(n, 24000, np.int32) for _ in range(3)]
+        self.lane = [lane * 512, lane * 64, lane * 16]
+        self.known = np.full(n * 4, 3800, np.int32)
+        self.lane4 = lane * 4
+        self.cdf = np.tile((np.arange(BINS + 1) * (4096 // BINS)).astype(np.int16), (n, 1))
+        self.past, self.before = np.zeros(n, np.int32), np.full(n, len(prior.ids), np.int32)
+
+    def predict(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best prediction of the first m blocks and its odds of 4096."""
+        self.e1, self.e2 = self.t1.take(self.i1[:m]), self.t2.take(self.i2[:m])
+        self.g1, self.g2 = self.e1 >> 4, self.e2 >> 4
+        c1, c2 = self.e1 & 15, self.e2 & 15
+        best = np.where(c2 >= c1 >> 1, self.g2, self.g1)
+        best = np.where(c2 > 0, best, self.g1)
+        share = self.prior.share(self.before[:m], best)
+        at = [self.lane[0][:m] + (c2 << 5 | c1 << 1 | (self.g1 == self.g2)), self.lane[1][:m] + (self.past[:m] & 63), self.lane[2][:m] + share]
+        self.at, self.p = at, [t.take(i) for t, i in zip(self.odds, at, strict=True)]
+        self.s = [STRETCH.take(p) for p in self.p]
+        dot = self.s[0] * (self.weights[0][:m] >> 4)
+        for s, w in zip(self.s[1:], self.weights[1:], strict=True):
+            dot += s * (w[:m] >> 4)
+        dot >>= 12
+        dot += 2048
+        self.mix = np.clip(SQUASH.take(dot, mode="clip"), 24, 4072)
+        return best, self.mix
+
+    def doubt(self, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the odds (of 256) that the prior knows the follower are kept for the lanes, and these odds."""
+        slot = self.lane4.take(lanes) + self.prior.known.take(self.before.take(lanes)) * 2
+        return slot, np.clip(self.known.take(slot) >> 4, 1, 255).astype(U)
+
+    def assure(self, slot: np.ndarray, yes: np.ndarray) -> None:
+        self.known[slot] = _nearer(self.known.take(slot), yes << np.int32(12))
+
+    def classify(self, lanes: np.ndarray, part: np.ndarray) -> None:
+        cdf = self.cdf[lanes]
+        self.cdf[lanes] = cdf + (AIM.take(part, 0) - cdf >> RATE)
+
+    def learn(self, m: int, x: np.ndarray, hit: np.ndarray) -> None:
+        """After the ranks x, hit where the prediction held."""
+        aim = hit << np.int32(12)
+        error = aim - self.mix
+        for table, i, p, s, w in zip(self.odds, self.at, self.p, self.s, self.weights, strict=True):
+            table[i] = _nearer(p, aim)
+            w[:m] += s * error >> 12
+        for table, i, e, g in ((self.t1, self.i1[:m], self.e1, self.g1), (self.t2, self.i2[:m], self.e2, self.g2)):
+            c = e & 15
+            sure = np.where(g == x, np.minimum(c + 1, SURE), c >> 1)
+            table[i] = np.where((g == x) | (sure > 0), g << 4 | sure, x << 4 | 1)
+        before = self.before[:m]
+        i1, i2 = self.i1[:m], self.i2[:m]
+        np.add(self.slots1[:m], x & SLOTS1 - 1, out=i1)
+        np.add(self.slots2[:m], (before * 0x2F0B4C47 + x * 0x1F35) >> 7 & SLOTS2 - 1, out=i2)
+        before[:] = x
+        past = self.past[:m]
         past <<= 1
-        past |= miss
-        past &= 15
-
-    def binary(self, table: np.ndarray, i: np.ndarray, yes: np.ndarray) -> None:
-        table[i] = _nearer(table[i], yes)
+        past |= hit
+        past &= 63
 
 
 class _Coder:
@@ -120,14 +288,14 @@ class _Coder:
 class _Writer(_Coder):
     def __init__(self, n: int) -> None:
         super().__init__(n)
-        self.width = BLOCK + BLOCK // 4
+        self.width = BLOCK // 2
         self.out, self.pos = np.zeros((n, self.width), np.uint16), np.zeros(n, np.int64)
 
     def word(self, go: np.ndarray, low: np.ndarray) -> None:
         pos = self.pos.take(go)
         if pos.max() >= self.width:
-            self.out = np.pad(self.out, ((0, 0), (0, BLOCK)))
-            self.width += BLOCK
+            self.out = np.pad(self.out, ((0, 0), (0, BLOCK // 2)))
+            self.width += BLOCK // 2
         self.out.reshape(-1)[go * self.width + pos] = low >> U(48)
         self.pos[go] = pos + 1
 
@@ -154,119 +322,122 @@ class _Reader(_Coder):
         self.pos[go] = pos + 1
 
 
-def encode(ids: np.ndarray) -> tuple[list[bytes], list[int], list[int]]:
-    """Blocks of at most BLOCK ids (below 65 536), their numbers of ids and their checksums."""
-    if len(ids) and (ids.max() > 0xFFFF or ids.min() < 0):
+def encode(ids: np.ndarray) -> tuple[bytes, list[bytes], list[int], list[int]]:
+    """The prior, blocks of at most BLOCK ids (below 65 536), their numbers of ids and their checksums."""
+    if not len(ids):
+        return prior_of(np.empty(0, np.int64)), [], [], []
+    if ids.max() > 0xFFFF or ids.min() < 0:
         raise ValueError("ids must lie in 0..65535")
-    out: tuple[list, list, list] = ([], [], [])
-    for at in range(0, len(ids), BLOCK * LANES):
-        part = np.ascontiguousarray(ids[at : at + BLOCK * LANES], "<u4")
-        n = -(-len(part) // BLOCK)
-        last = len(part) - (n - 1) * BLOCK
-        grid = np.zeros((n, BLOCK), np.int32)
-        grid.reshape(-1)[: len(part)] = part
-        grid = np.ascontiguousarray(grid.T)
-        model, w = _Model(n), _Writer(n)
-        for t in range(BLOCK if n > 1 else last):
-            m = n if t < last else n - 1
-            x = grid[t, :m]
-            model.predict(m)
-            two, one = model.g2 == x, model.g1 == x
-            miss = ~(two | one | (model.g0 == x))
-            low, size = w.low[:m], w.range[:m] >> U(13)
-            odds = model.odds
-            low += size * odds * ~miss
-            size *= np.where(miss, odds, U(8192) - odds)
-            bits = BITS.take(x)
-            # Where a prediction holds, the steps for ids that none gives take the whole range.
-            at18 = model.at18[:m] + bits
-            start, end = model.cdf.reshape(-1).take(at18), model.cdf.reshape(-1).take(at18 + 1)
-            start, width = np.where(miss, start, 0).astype(U), np.where(miss, end - start, 4096).astype(U)
-            size >>= U(12)
-            low += size * start
-            size *= width
-            more = np.where(miss, np.maximum(bits - 1, 0), 0)
-            size >>= more.astype(U)
-            low += size * (x & ((1 << more) - 1)).astype(U)
-            w.range[:m] = size
-            hit = np.flatnonzero(~miss)
-            if len(hit):
-                _put(w, model.pk, model.ia[hit], hit, two[hit], model)
-                rest = hit[~two[hit]]
-                if len(rest):
-                    _put(w, model.pj, rest, rest, one[rest], model)
-            w.renew(m)
-            model.learn(m, x, miss, bits)
-        out[0].extend(w.blocks())
-        out[1].extend([BLOCK] * (n - 1) + [last])
-        out[2].extend(zlib.crc32(part[k * BLOCK : (k + 1) * BLOCK]) for k in range(n))
-    return out
-
-
-def _put(w: _Writer, table: np.ndarray, i: np.ndarray, rows: np.ndarray, yes: np.ndarray, model: _Model) -> None:
-    odds, size = table[i].astype(U), w.range[rows] >> U(12)
-    w.low[rows] += np.where(yes, U(0), size * odds)
-    w.range[rows] = size * np.where(yes, odds, U(4096) - odds)
-    model.binary(table, i, yes)
-
-
-def _get(r: _Reader, table: np.ndarray, i: np.ndarray, rows: np.ndarray, model: _Model) -> np.ndarray:
-    odds, size = table[i].astype(U), r.range[rows] >> U(12)
-    low = r.low[rows]
-    yes = r.code[rows] - low < size * odds
-    r.low[rows] = low + np.where(yes, U(0), size * odds)
-    r.range[rows] = size * np.where(yes, odds, U(4096) - odds)
-    model.binary(table, i, yes)
-    return yes
-
-
-def decode(blocks: list[bytes], lengths: list[int], checks: list[int]) -> np.ndarray:
+    raw = prior_of(ids)
+    prior = Prior(raw)
+    n = -(-len(ids) // BLOCK)
+    last = len(ids) - (n - 1) * BLOCK
+    grid = np.zeros((n, BLOCK), np.int32)
+    grid.reshape(-1)[: len(ids)] = prior.rank[ids]
+    place = np.full((n, BLOCK), -1, np.int32)
+    for k in range(n):
+        place[k, 1:] = prior.places(grid[k, :-1], grid[k, 1:])
+    grid, place = np.ascontiguousarray(grid.T), np.ascontiguousarray(place.T)
+    model, w = _Model(n, prior), _Writer(n)
+    for t in range(BLOCK if n > 1 else last):
+        m = n if t < last else n - 1
+        x, low, size = grid[t, :m], w.low[:m], w.range[:m]
+        best, odds = model.predict(m)
+        hit = best == x
+        size >>= U(12)
+        edge = size * odds.astype(U)
+        low += np.where(hit, U(0), edge)
+        size[:] = np.where(hit, edge, (size << U(12)) - edge)
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            at = place[t].take(miss)
+            yes = at >= 0
+            slot, odds = model.doubt(miss)
+            r = size.take(miss) >> U(8)
+            edge = r * odds
+            model.assure(slot, yes)
+            l = low.take(miss) + np.where(yes, U(0), edge)  # noqa: E741
+            r = np.where(yes, edge, (r << U(8)) - edge)
+            k = np.flatnonzero(yes)
+            if len(k):
+                step = r[k] >> U(16)
+                l[k] += step * prior.start1.take(at[k]).astype(U)
+                r[k] = step * prior.width1.take(at[k]).astype(U)
+            k = np.flatnonzero(~yes)
+            if len(k):
+                lane, what = miss[k], x[miss[k]]
+                part = prior.bin.take(what)
+                start, end = model.cdf[lane, part], model.cdf[lane, part + 1]
+                step = r[k] >> U(12)
+                l[k] += step * start.astype(U)
+                step = (step * (end - start).astype(U)) >> U(12)
+                l[k] += step * prior.start0.take(what).astype(U)
+                r[k] = step * prior.width0.take(what).astype(U)
+                model.classify(lane, part)
+            low[miss], size[miss] = l, r
+        w.renew(m)
+        model.learn(m, x, hit)
+    plain = np.ascontiguousarray(ids, "<u4")
+    return raw, w.blocks(), [BLOCK] * (n - 1) + [last], [zlib.crc32(plain[k * BLOCK : (k + 1) * BLOCK]) for k in range(n)]
+
+
+def decode(raw: bytes, blocks: list[bytes], lengths: list[int], checks: list[int]) -> np.ndarray:
     """The ids of blocks, all of which but the last hold the same number."""
-    out = []
-    for at in range(0, len(blocks), LANES):
-        part, length = blocks[at : at + LANES], lengths[at : at + LANES]
-        n, most = len(part), max(length)
-        if any(k != most for k in length[:-1]):
-            raise ValueError("blocks but the last must be equally long")
-        grid = np.zeros((most, n), np.int32)
-        model, r = _Model(n), _Reader(part)
-        for t in range(most):
-            m = n if t < length[-1] else n - 1
-            model.predict(m)
-            low, size, code = r.low[:m], r.range[:m] >> U(13), r.code[:m]
-            odds = model.odds
-            edge = size * odds
-            miss = code - low < edge
-            low += np.where(miss, U(0), edge)
-            size *= np.where(miss, odds, U(8192) - odds)
-            size >>= U(12)
-            s = np.minimum((code - low) // size, U(4095)).astype(np.int16)
-            # 16 truth values a row, added up as bytes of two words.
-            two = np.ascontiguousarray(s[:, None] >= model.cdf[:m, 1:17]).view(U)
-            bits = ((two[:, 0] + two[:, 1]) * U(0x0101010101010101) >> U(56)).astype(np.intp)
-            at18 = model.at18[:m] + bits
-            start, end = model.cdf.reshape(-1).take(at18), model.cdf.reshape(-1).take(at18 + 1)
-            start, width = np.where(miss, start, 0).astype(U), np.where(miss, end - start, 4096).astype(U)
-            low += size * start
-            size *= width
-            more = np.where(miss, np.maximum(bits - 1, 0), 0)
-            size >>= more.astype(U)
-            tail = np.minimum(((code - low) // size).astype(np.int64), (1 << more) - 1)
-            low += size * np.where(miss, tail, 0).astype(U)
-            r.range[:m] = size
-            x = (tail | (bits > 0).astype(np.int64) << more).astype(np.int32)
-            hit = np.flatnonzero(~miss)
-            if len(hit):
-                x[hit] = model.g2[hit]
-                rest = hit[~_get(r, model.pk, model.ia[hit], hit, model)]
-                if len(rest):
-                    x[rest] = np.where(_get(r, model.pj, rest, rest, model), model.g1[rest], model.g0[rest])
-            r.renew(m)
-            grid[t, :m] = x
-            model.learn(m, x, miss, BITS.take(x))
-        ids = np.ascontiguousarray(grid.T, "<u4")
-        for k, (row, size, check) in enumerate(zip(ids, length, checks[at : at + LANES], strict=True)):
-            if zlib.crc32(row[:size]) != check:
-                raise ValueError(f"block {at + k} is damaged")
-        out.append(ids.reshape(-1)[: sum(length)])
-    return np.concatenate(out) if out else np.empty(0, np.uint32)
+    if not blocks:
+        return np.empty(0, np.uint32)
+    prior, n, most = Prior(raw), len(blocks), max(lengths)
+    if any(k != most for k in lengths[:-1]):
+        raise ValueError("blocks but the last must be equally long")
+    grid = np.zeros((most, n), np.int32)
+    model, r_ = _Model(n, prior), _Reader(blocks)
+    for t in range(most):
+        m = n if t < lengths[-1] else n - 1
+        low, size, code = r_.low[:m], r_.range[:m], r_.code[:m]
+        best, odds = model.predict(m)
+        size >>= U(12)
+        edge = size * odds.astype(U)
+        hit = code - low < edge
+        low += np.where(hit, U(0), edge)
+        size[:] = np.where(hit, edge, (size << U(12)) - edge)
+        x = best.copy()
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            slot, odds = model.doubt(miss)
+            r, l, c = size.take(miss) >> U(8), low.take(miss), code.take(miss)  # noqa: E741
+            edge = r * odds
+            yes = c - l < edge
+            model.assure(slot, yes)
+            l += np.where(yes, U(0), edge)  # noqa: E741
+            r = np.where(yes, edge, (r << U(8)) - edge)
+            k = np.flatnonzero(yes)
+            if len(k):
+                step = r[k] >> U(16)
+                value = np.minimum((c[k] - l[k]) // step, U(65535)).astype(np.int64)
+                at = prior.followers_at(model.before.take(miss[k]), value)
+                x[miss[k]] = prior.follower.take(at)
+                l[k] += step * prior.start1.take(at).astype(U)
+                r[k] = step * prior.width1.take(at).astype(U)
+            k = np.flatnonzero(~yes)
+            if len(k):
+                lane = miss[k]
+                step = r[k] >> U(12)
+                value = np.minimum((c[k] - l[k]) // step, U(4095)).astype(np.int16)
+                part = (value[:, None] >= model.cdf[lane, 1:BINS]).sum(1)
+                start, end = model.cdf[lane, part], model.cdf[lane, part + 1]
+                l[k] += step * start.astype(U)
+                step = (step * (end - start).astype(U)) >> U(12)
+                value = np.minimum((c[k] - l[k]) // step, U(4095)).astype(np.int64)
+                what = prior.lookup[part, value]
+                x[lane] = what
+                l[k] += step * prior.start0.take(what).astype(U)
+                r[k] = step * prior.width0.take(what).astype(U)
+                model.classify(lane, part)
+            low[miss], size[miss] = l, r
+        r_.renew(m)
+        grid[t, :m] = x
+        model.learn(m, x, hit)
+    ids = prior.ids.take(np.ascontiguousarray(grid.T), mode="clip").astype("<u4")
+    for k, (row, size, check) in enumerate(zip(ids, lengths, checks, strict=True)):
+        if zlib.crc32(row[:size]) != check:
+            raise ValueError(f"block {k} is damaged")
+    return ids.reshape(-1)[: sum(lengths)]

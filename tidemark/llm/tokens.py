@@ -2,7 +2,7 @@
 
 Documents are dealt out by ranges of doc_id and sorted, so shard after shard holds them in ascending
 order.  A shard is a file in the shared folder: segments of a directory (ids of documents, their numbers of
-tokens, their blocks with checksums) and the range-coded blocks; see :mod:`rangecoder`.  Reading
+tokens, their blocks with checksums, the coder's prior) and the range-coded blocks; see :mod:`rangecoder`.  Reading
 decodes a shard segment by segment; a document's start follows from the sums of the shards before its own, of
 which there is one row each.
 
@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from . import rangecoder
 from .common import bytes_of, cut, new_path, open_fs, spread, table, text_slices
 
-SLICE_BYTES, SEGMENT_IDS, REMEMBER = 4_000_000, 16_000_000, 400_000
+SLICE_BYTES, SEGMENT_IDS, REMEMBER = 4_000_000, 8_000_000, 400_000
+#: Bytes of text of a shard, about: so their number grows with the corpus.
+SHARD_BYTES = 256_000_000
 NO_ID = (1 << 63) - 1
-MAGIC, HEAD = b"TIDS\x01", struct.Struct("<QQQQ")
+MAGIC, HEAD = b"TIDS\x02", struct.Struct("<QQQQ")
 SPACE, LETTER, DIGIT, OTHER, FAR = range(5)
 
 
@@ -188,9 +190,9 @@ def default_path() -> str:
 
 
 def write_segment(f, docs: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-    """Head (documents, ids, blocks, bytes of directory), directory, blocks."""
-    blocks, lengths, checks = rangecoder.encode(ids)
-    plain = docs.astype("<i8").tobytes() + counts.astype("<i8").tobytes() + np.array([list(map(len, blocks)), lengths, checks], "<u4").reshape(3, -1).tobytes()
+    """Head (documents, ids, blocks, bytes of directory), directory with the coder's prior, blocks."""
+    prior, blocks, lengths, checks = rangecoder.encode(ids)
+    plain = docs.astype("<i8").tobytes() + counts.astype("<i8").tobytes() + np.array([list(map(len, blocks)), lengths, checks], "<u4").reshape(3, -1).tobytes() + prior
     directory = zlib.compress(plain, 1)
     f.write(MAGIC + HEAD.pack(len(docs), len(ids), len(blocks), len(directory)) + struct.pack("<I", zlib.crc32(directory)) + directory)
     for b in blocks:
@@ -210,8 +212,8 @@ def read_segments(url: str):
                 raise ValueError(f"{url}: damaged directory")
             raw = zlib.decompress(raw)
             docs, counts = np.frombuffer(raw, "<i8", 2 * n_docs).reshape(2, -1)
-            sizes, lengths, checks = np.frombuffer(raw, "<u4", offset=16 * n_docs).reshape(3, n_blocks).tolist()
-            ids = rangecoder.decode([f.read(s) for s in sizes], lengths, checks)
+            sizes, lengths, checks = np.frombuffer(raw, "<u4", 3 * n_blocks, 16 * n_docs).reshape(3, n_blocks).tolist()
+            ids = rangecoder.decode(raw[16 * n_docs + 12 * n_blocks :], [f.read(s) for s in sizes], lengths, checks)
             if len(ids) != n_ids:
                 raise ValueError(f"{url}: {len(ids)} ids, not {n_ids}")
             yield docs, counts, ids
@@ -221,8 +223,10 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, end: int
     """Writes the shards and returns their manifest (shard, path, docs, ids), shard in order of doc_id."""
     path = path or default_path()
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # As many ranges as Spark's shuffle has partitions; each becomes a shard of whole documents.
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Each range becomes a shard of whole documents; their number follows from the measured bytes.
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+    rows = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         bpe, url, f, done = loaded(path), f"{folder}/{uuid.uuid4().hex}.ids", None, [0, 0]
