@@ -315,22 +315,38 @@ def test_large_groups_are_dealt_out_in_blocks(spark, monkeypatch):
     assert got == {i: 2 * int(hit[i].sum()) for i in range(90)}
 
 
-def test_recall_of_the_index():
-    """Pairs just above the threshold, all vectors indexed: at least 0.9 are found."""
+@pytest.mark.parametrize("common", [0.0, 1.5])
+def test_recall_of_the_index(common):
+    """Pairs just above the threshold, all vectors indexed, with and without a direction in common: at least 0.9
+    are found."""
     rng = np.random.default_rng(15)
-    a = rng.normal(size=(4000, 64))
+    mean = np.zeros(64)
+    mean[:3] = common
+    scale = np.linspace(0.4, 1.6, 64) if common else np.ones(64)
+    a = mean * 3 + rng.normal(size=(50_000, 64)) * scale
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b = rng.normal(size=a.shape)
+    b = mean * 3 + rng.normal(size=a.shape) * scale
     b -= (b * a).sum(1, keepdims=True) * a
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     c = 0.951 * a + np.sqrt(1 - 0.951**2) * b
-    v = np.concatenate([a, c])
-    w, tables = embeddings.shape(len(v))
-    project, at = embeddings.fit(v[::2], w * tables)
-    up = (v @ project >= at).reshape(len(v), tables, w)
-    far = (up[:4000] != up[4000:]).reshape(4000, -1).sum(1)
-    found = (up[:4000] == up[4000:]).all(2).any(1) & (far <= embeddings.SHARE * w * tables)
-    assert found.mean() >= 0.9
+    sample = np.concatenate([a, c])[rng.permutation(100_000)[:4000]]
+    apart = embeddings.thinned(sample)
+    w, tables = embeddings.shape(100_000, embeddings.flips(apart, sample, 0.95))
+    project, at = embeddings.fit(apart, w * tables)
+    agree = np.zeros(len(a), bool)
+    for k in range(tables):
+        part = slice(k * w, (k + 1) * w)
+        agree |= ((a @ project[:, part] >= at[part]) == (c @ project[:, part] >= at[part])).all(1)
+    assert agree.mean() >= 0.9
+
+
+def test_vectors_that_share_an_id_stay_apart(spark):
+    e = lambda *x: [float(y) for y in (*x, *[0] * (4 - len(x)))]
+    rows = [(1, e(1)), (2, e(0, 1)), (None, e(1, 0.01)), (None, e(0, 1, 0.01)), (5, e(0, 0, 1)), (5, e(0, 0, 0, 1)), (6, e(0, 0, 1, 0.01)), (8, [1.0, 2.0]), (7, [1.0, 2.0]), (9, [2.0, 4.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, embeddings.link(df).collect()), key=repr)
+    want = [(1, 1, 1, True), (2, 1, 2, True), (5, 0, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 2, 7, True), (8, 2, 7, False), (9, 2, 7, False), (None, 1, 1, False), (None, 1, 2, False)]
+    assert got == sorted(want, key=repr)
 
 
 def test_offsets_may_be_judged_a_few_at_a_time(monkeypatch):

@@ -14,9 +14,15 @@ from .graph import local_labels
 PAIRS, MANY_KEYS = 1 << 19, 100_000
 
 
+def parts_of(n, least: int):
+    """Number of parts of a group of n rows, of ``least`` rows or, in large groups, of the root of n times 4: a row
+    is copied once a part, so neither units nor copies may grow in proportion."""
+    return F.ceil(n / F.greatest(F.lit(float(least)), 4 * F.sqrt(n))).cast("int")
+
+
 def dealt(filed: DataFrame, member: str, block: int) -> DataFrame:
-    """filed (key, member, more) with every key of more than ``block`` rows cut into units of about that many,
-    each holding two parts of the key's members; all pairs of a key still meet in a unit.  Counts come from a
+    """filed (key, member, more) with every key of more than ``block`` rows cut into units of about that many
+    or more, each holding two parts of the key's members; all pairs of a key still meet in a unit.  Counts come from a
     partial aggregate, so no task sees a hot key whole.  Units are named by a hash; should two names meet, rows
     of two keys share a unit, which costs work and changes no result."""
     hot = cut(filed.groupBy(F.col("key").alias("_hot")).agg(F.count("*").alias("_n")).where(F.col("_n") > block), "hot-keys")
@@ -24,7 +30,7 @@ def dealt(filed: DataFrame, member: str, block: int) -> DataFrame:
     if n == 0:
         return filed
     rows = filed.join(bounded_broadcast(hot, n, MANY_KEYS), F.col("key") == F.col("_hot"), "left")
-    parts = F.ceil(2 * F.col("_n") / block).cast("int")
+    parts = parts_of(F.col("_n"), block // 2)
     mine = F.pmod(F.xxhash64(member), parts).cast("int")
     others = F.filter(F.sequence(F.lit(0), parts - 1), lambda o: o != F.col("_mine"))
     units = F.transform(others, lambda o: F.xxhash64("key", F.least("_mine", o), F.greatest("_mine", o)))
@@ -52,16 +58,17 @@ def whole_keys(batches):
         yield joined()
 
 
-def windows(low: np.ndarray, high: np.ndarray):
-    """Batches of pairs i < j with low[j] <= high[i], for ascending low; about PAIRS at once, and of one i
-    all at least."""
+def windows(low: np.ndarray, high: np.ndarray, most: int | None = None):
+    """Batches of pairs i < j with low[j] <= high[i], for ascending low; about ``most`` at once (PAIRS), and of
+    one i all at least."""
+    most = most or PAIRS
     n = len(low)
     count = np.searchsorted(low, high, "right") - np.arange(1, n + 1)
     ends = np.cumsum(count)
     at = 0
     while at < n:
         before = int(ends[at - 1]) if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
         c = count[at:to]
         if len(c) and int(ends[to - 1]) > before:
             i = np.repeat(np.arange(at, to), c)
