@@ -54,6 +54,16 @@ def test_small_payloads_stay_responses(spark):
     assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in out.collect()) == [(1, "response", None), (2, "response", None), (3, "revisit", 4), (4, "response", None)]
 
 
+def test_urls_come_back_as_they_were(spark):
+    urls = ["http://a/b%20c?x=%2F", "http://a/b c", "http://é/ü", "u\r\nInjected: 1", "", None, "%", "http://a/it's"]
+    rows = [(k, u, f"page {k}") for k, u in enumerate(urls)] + [(0, "u", "other payload of the same page")]
+    manifest = warc.write_archives(spark.createDataFrame(rows, KIND).repartition(2), new_path(spark, "warc"))
+    assert sorted(((r["page_id"], r["url"], bytes(r["payload"]).decode()) for r in warc.read_archives(manifest).collect()), key=repr) == sorted(rows, key=repr)
+    assert warc.record(1, "http://a/b%20c", b"", None, False).count(b"http://a/b%20c\r\n") == 1
+    ids = {warc.record(i, u, t.encode(), None, False).split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for i, u, t in rows}
+    assert len(ids) == len(rows)
+
+
 def test_zip64_directory():
     """Sizes and places that are moved to the ZIP64 fields, as in packages over 4 GB."""
     data = b"hello"
@@ -124,6 +134,38 @@ def test_branches_are_ranked_by_score(spark):
     assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == {("t", 1): ["r", "a", "a1"], ("t", 2): ["r", "b", "b1"], ("u", 1): ["x"]}
 
 
+def test_messages_below_a_cycle_are_left_out(spark):
+    """A leaf below a cycle, a longer cycle, a message that answers itself, and a deep chain."""
+    nodes = [("a", "b", 9.0), ("b", "a", 9.0), ("leaf", "a", 99.0), ("r", None, 0.0), ("x", "r", 1.0), ("self", "self", 5.0), ("under", "self", 50.0)]
+    nodes += [(f"c{k}", f"c{(k + 1) % 7}", 7.0) for k in range(7)] + [("tail0", "c3", 70.0), ("tail1", "tail0", 71.0)]
+    nodes += [(f"d{k}", f"d{k - 1}" if k else None, float(k)) for k in range(40)]
+    df = spark.createDataFrame([("t", *n) for n in nodes], "tree string, node string, parent string, score double")
+    got = {}
+    for r in chat.chosen_paths(df, branches=9).collect():
+        got.setdefault(r["rank"], []).append((-r["height"], r["node"]))
+    assert {k: [n for _, n in sorted(v)] for k, v in got.items()} == {1: [f"d{k}" for k in range(40)], 2: ["r", "x"]}
+
+
+def test_branches_of_a_tree_read_back(spark):
+    rng, rows = random.Random(6), []
+    for tree in range(4):
+        for k in range(12):
+            rows.append((tree, f"{tree}.{k}", f"{tree}.{rng.randrange(k)}" if k else None, float(rng.randrange(5)), ("user", "assistant")[k % 2], rng.choice(NASTY)))
+    df = spark.createDataFrame(rows, "tree long, node string, parent string, score double, role string, text string")
+    formatted = chat.format_paths(chat.chosen_paths(df, branches=3), df)
+    got = {(r["tree"], r["rank"]): chat.parse_turns(r["formatted"]) for r in formatted.collect()}
+    by = {r[1]: r for r in rows}
+    for tree in range(4):
+        leaves = [r for r in rows if r[0] == tree and not any(o[2] == r[1] for o in rows)]
+        for rank, leaf in enumerate(sorted(leaves, key=lambda r: (-r[3], r[1]))[:3], 1):
+            path, at = [], leaf
+            while at:
+                path.append((at[4], at[5]))
+                at = by.get(at[2])
+            assert got.pop((tree, rank)) == path[::-1]
+    assert not got
+
+
 def test_clean_deletes_what_operators_left(spark, monkeypatch):
     monkeypatch.setattr(common, "_made", [])
     assert new_path(spark, "x") != new_path(spark, "x")

@@ -81,6 +81,17 @@ def test_mixed_rows_come_as_often_as_taken(documents, clashing):
     assert out.count() == want and out.columns == clashing.columns
 
 
+def test_rows_that_share_an_id_are_taken_as_planned(spark):
+    """Rows of one id and size, of one id and text, and without id: as many come back as the plan takes of each."""
+    rows = [(1, "a b c d", "x"), (1, "e f g h", "x"), (1, "a b c d", "x"), (1, "a b c d", "y"), (None, "i j", "y"), (None, "k l", "y"), (2, "m " * 30, "z"), (3, "", "z")]
+    df = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    plan, want = mixing.mix(df).collect(), collections.Counter()
+    for r in plan:
+        want[(r["doc_id"], r["source"], r["digest"])] += r["copies"]
+    got = collections.Counter((r["doc_id"], r["source"], hashlib.md5(r["text"].encode()).hexdigest()) for r in mixing.apply_mix(df).collect())
+    assert got == +want and sorted(map(tuple, mixing.mix(df).collect()), key=repr) == sorted(map(tuple, plan), key=repr)
+
+
 def test_caps_in_the_targets(spark):
     sizes = [("a", 10), ("b", 1000), ("c", 5), ("d", 2000), (None, 0)]
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}

@@ -65,6 +65,18 @@ def test_verdicts(documents, corpus, clashing, no_documents):
     assert quality.measure(no_documents).count() == 0 == quality.keep_good(no_documents).count()
 
 
+def test_lines_without_words_do_not_count():
+    """Blank lines and the blanks of a repeated line are measured alike above and below the fraction."""
+    rng = random.Random(3)
+    line = lambda: " ".join(f"{rng.randrange(10**6)}" for _ in range(12))
+    a, others = line(), [line() for _ in range(4)]
+    text = "\n".join([a, *["", " \t"] * 60, a, *others])
+    m = quality.measures(pa.array([text])).to_pylist()[0]
+    assert (m["n_lines"], m["n_dup_lines"], m["dup_line_chars"]) == (6, 1, len(a)) and m["line_chars"] == 2 * len(a) + sum(map(len, others))
+    three = quality.measures(pa.array(["\n".join([a, *[""] * 90, a, a, *others])])).to_pylist()[0]
+    assert not three["kept"]  # two lines of seven are copies, whatever blank lines stand between
+
+
 def test_equal_hashes_are_checked_word_by_word():
     ids = np.array([1, 2, 3, 9, 1, 2, 3, 8, 4, 5, 6])
     doc, n = np.zeros(11, np.int64), 3

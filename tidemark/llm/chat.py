@@ -14,8 +14,8 @@ each assistant text.
 
 Null texts and roles count as empty.  Rows of a conversation that share a turn follow one another by role
 and text; equal rows are turns of their own.  Rows without conversation id form one conversation whose id
-is null.  Messages whose parent is missing are roots; messages on a cycle have no root and are left
-out.  Extra columns are not read.  A conversation is one row of the result and so fits one task.
+is null.  Messages whose parent is missing are roots; messages on a cycle, or below one, have no root and are
+left out.  Extra columns are not read.  A conversation is one row of the result and so fits one task.
 """
 
 from __future__ import annotations
@@ -79,6 +79,8 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         levels.append(cut(a.join(b, F.col("up") == F.col("_n")).select("node", F.col("_u").alias("up")), "chat-up"))
         size = levels[-1].count()
     leaves = base.join(base.select(F.col("up").alias("_p")).where(F.col("_p").isNotNull()).distinct(), F.col("node") == F.col("_p"), "left_anti")
+    if size:  # an ancestor as many steps up as there are messages: the walk goes round a cycle
+        leaves = leaves.join(levels[-1].select(F.col("node").alias("_e")), F.col("node") == F.col("_e"), "left_anti")
     # A leaf's tree is named by its messages; rank branches inside it.
     by = Window.partitionBy("tree").orderBy(F.col("score").desc_nulls_last(), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= branches)

@@ -3,8 +3,9 @@
 Every source is a queue of its documents in a shuffled order (MD5 of seed and id), served up to
 ``most_repeats`` times over.  A copy's virtual finish time is the words its source has queued up to
 and including it, divided by the source's target.  All copies are range-sorted by finish time and cut
-where the words of the whole mix reach the budget, so each source stops within a document of its
-target.
+where the words of the whole mix reach the budget.  All sources are cut at one time, which overlong last documents
+of others move: a source ends within its longest document, and its share of the other sources' longest
+documents, of its target.
 
 Nothing is gathered in one task: running sums are made in two levels.  Rows fall into buckets of the
 shuffle order (or slices of the finish time) that hold about ``ROWS_IN_BUCKET`` rows, totals of the
@@ -14,7 +15,7 @@ sources itself, a row each, is ranked in one task.
 
 Null sources are a source of their own, last in order; null texts have size 0.  Documents of size 0
 take nothing.  Equal rows are told apart by nothing and are interchangeable: each is queued.  Null
-ids are shuffled as the id -1.  Extra columns are left alone.
+ids are shuffled by their text.  Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -61,10 +62,14 @@ def totals_before(totals: DataFrame, group: list[str], bucket: str, value: str)
     return t.join(blocks, on).select(*totals.columns, (F.col("_near") + F.col("_far")).alias("before"))
 
 
+def _digest(text_col: str) -> F.Column:
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def queue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, repeats: int = REPEATS, seed: str = SEED) -> tuple[DataFrame, int]:
     """Documents with size, source_size, target and ``served``, the words their source has queued up
     to and including their first copy; and the number of rows."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("-1")))).alias("shuffle"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("-1:"), _digest(text_col))))).alias("shuffle"), _digest(text_col).alias("digest"))
     base = cut(base, "mix-sizes")
     rows = base.count()
     buckets = max(1, -(-rows // ROWS_IN_BUCKET))
@@ -74,10 +79,10 @@ def queue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     aims = cut(targets(sizes.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, repeats), "mix-targets")
     aims = bounded_broadcast(aims.withColumnRenamed("source", "_s"), aims.count(), MANY_SOURCES)
     before = totals_before(sizes, ["source"], "bucket", "bucket_size").join(aims, F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), "before", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("shuffle", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("shuffle", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, 0)
     base = base.withColumn("_in", F.sum("size").over(inside))
     out = base.join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("before") + F.col("_in")).alias("served")), rows
+    return out.select("doc_id", "source", "size", "digest", "source_size", "target", (F.col("before") + F.col("_in")).alias("served")), rows
 
 
 def finish(e) -> F.Column:
@@ -86,7 +91,7 @@ def finish(e) -> F.Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: how often and for how many words the
+    """doc_id, source, size, digest, source_size, target, copies, taken: how often and for how many words the
     mix takes each document."""
     queued, rows = queue(docs, id_col, text_col, source_col, weights, repeats, seed)
     queued = cut(queued, "mix-queue")
@@ -111,17 +116,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     tie = source_before | (name.eqNullSafe(source) & (F.col("served") < last[2]))
     taken = sum(((finish(F.lit(e)) < last[0]) | ((finish(F.lit(e)) == last[0]) & tie)).cast("int") for e in range(repeats))
     n = F.when((F.col("size") > 0) & (F.col("target") > 0), taken).otherwise(0)
-    return queued.select("doc_id", "source", "size", "source_size", F.col("target"), n.cast("int").alias("copies"), (n * F.col("size")).cast("long").alias("taken"))
+    return queued.select("doc_id", "source", "size", "digest", "source_size", F.col("target"), n.cast("int").alias("copies"), (n * F.col("size")).cast("long").alias("taken"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; rows of one id and size alike."""
+    """The rows of docs, each as often as the mix takes it.  Rows of one id, source and text share out what is
+    taken of them, as evenly as it goes."""
     plan = mix(docs, id_col, text_col, source_col, **how).where(F.col("copies") > 0)
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
+    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("digest").alias("_digest")).agg(F.sum("copies").alias("_taken"))
+    plan = cut(plan, "mix-plan")
     # The row travels as one struct, so that no name of its columns can clash.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_mine"), n_words(F.col(text_col)).alias("_words"))
-    joined = rows.join(plan.hint("merge"), F.col("_mine").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    joined = joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_mine"), F.col(source_col).alias("_of"), _digest(text_col).alias("_text"))
+    joined = rows.join(plan.hint("merge"), F.col("_mine").eqNullSafe(F.col("_id")) & F.col("_of").eqNullSafe(F.col("_source")) & (F.col("_text") == F.col("_digest")))
+    # Only if equal rows occur are they counted off; a window then holds equal rows and no others.
+    same = docs.groupBy(F.col(id_col), F.col(source_col), _digest(text_col)).agg(F.count("*").alias("_n"))
+    if same.where("_n > 1").isEmpty():
+        joined = joined.withColumn("_copies", F.col("_taken"))
+    else:
+        equal = Window.partitionBy("_mine", "_of", "_text")
+        joined = joined.withColumn("_n", F.count("*").over(equal)).withColumn("_k", F.row_number().over(equal.orderBy(F.to_json("_row"))))
+        joined = joined.withColumn("_copies", F.floor(F.col("_taken") / F.col("_n")) + (F.col("_k") <= F.col("_taken") % F.col("_n")).cast("long"))
+    joined = joined.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"))
     return joined.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
@@ -131,7 +146,7 @@ def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  md5('mix-1:' || coalesce(doc_id::VARCHAR, '-1')) AS shuffle FROM documents),
+                  md5('mix-1:' || coalesce(doc_id::VARCHAR, '-1:' || md5(coalesce(text, '')))) AS shuffle FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, 3.0::DOUBLE * source_size AS cap,
              CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM sizes),

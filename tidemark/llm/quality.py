@@ -3,7 +3,7 @@
 Every text is measured once: its words are numbered by Arrow's dictionary coder, rolling hashes of
 several n-gram lengths run over the numbers in numpy, and the characters that lie inside duplicated
 n-grams and duplicated lines are counted, beside symbols.  Equal hashes are compared word by word before they count,
-so the measures are exact.  Rows are independent: there is no shuffle, and a task holds one Arrow
+so the measures are exact.  Lines without a word count neither as lines nor as repeated ones.  Rows are independent: there is no shuffle, and a task holds one Arrow
 batch, worked through in slices of a few MB.
 
 Null and empty texts have no words and fail the base rules.  Repeated rows are judged alike.  Other
@@ -34,7 +34,7 @@ SLICE_BYTES = 2_000_000
 
 MEASURES = pa.schema(
     [(k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("n_lines", pa.int64()), ("dup_line_chars", pa.int64())]
+    + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("n_lines", pa.int64()), ("line_chars", pa.int64()), ("dup_line_chars", pa.int64())]
     + [(f"dup_{n}gram_chars", pa.int64()) for n in NGRAM_SHARES]
 )
 DDL = ", ".join(f"{f.name} {'boolean' if f.type == pa.bool_() else 'bigint'}" for f in MEASURES)
@@ -95,11 +95,11 @@ def measures(texts: pa.Array) -> pa.RecordBatch:
     lines = pc.split_pattern(texts, "\n")
     of = np.repeat(np.arange(n), np.diff(lines.offsets.to_numpy()))
     flat = lines.flatten()
-    out["n_lines"] = np.bincount(of, minlength=n).astype(np.int64)
     worded = pc.match_substring_regex(flat, WORD_RE2).to_numpy(zero_copy_only=False)
     long = pc.utf8_length(flat).to_numpy().astype(np.int64)
     line = flat.dictionary_encode().indices.to_numpy().astype(np.int64)
     of, line, long = of[worded], line[worded], long[worded]
+    out["n_lines"], out["line_chars"] = np.bincount(of, minlength=n).astype(np.int64), total(of, long)
     order = np.lexsort((line, of))
     again = np.zeros(len(of), bool)
     again[order[1:]] = (of[order[1:]] == of[order[:-1]]) & (line[order[1:]] == line[order[:-1]])
@@ -116,7 +116,7 @@ def measures(texts: pa.Array) -> pa.RecordBatch:
                 out["n_repeat_words"] = total(doc, _covered(every, k, len(ids)))
     out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > BASE_PERCENT * out["n_words"])
     bad = out["base_failed"] | (out["n_dup_lines"] > DUP_LINES * out["n_lines"])
-    bad |= out["dup_line_chars"] > DUP_LINE_CHARS * np.maximum(out["word_chars"], 1)
+    bad |= out["dup_line_chars"] > DUP_LINE_CHARS * out["line_chars"]
     bad |= out["n_symbols"] > SYMBOLS * out["n_words"]
     for k, most in NGRAM_SHARES.items():
         bad |= out[f"dup_{k}gram_chars"] > most * np.maximum(out["word_chars"], 1)

@@ -43,18 +43,25 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 
 
+def record_id(page_id: int | None, sha: str) -> str:
+    """Rows that share a page_id have records of their own if their payloads differ."""
+    return f"<urn:x-page:{'' if page_id is None else page_id}:{sha}>"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record."""
+    """One WARC/1.1 record.  A URL with characters that a URI may not hold is escaped, and stands beside as it is."""
+    sha, uri = digest(payload), urllib.parse.quote(url or "", safe=":/?#[]@!$&'()*+,;=%~")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:x-page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {record_id(page_id, sha)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        *([f"WARC-Target-URI: {urllib.parse.quote(url, safe=':/?#[]@!$&()*+,;=%~')}"] if url is not None else []),
-        f"WARC-Payload-Digest: sha1:{digest(payload)}",
-        *([f"WARC-Refers-To: <urn:x-page:{refers_to}>", f"WARC-Profile: {PROFILE}"] if revisit else []),
+        *([f"WARC-Target-URI: {uri}"] if url is not None else []),
+        *([f"X-Source-URL: {json.dumps(url)}"] if url is not None and url != uri else []),
+        f"WARC-Payload-Digest: sha1:{sha}",
+        *([f"WARC-Refers-To: {record_id(refers_to, sha)}", f"WARC-Profile: {PROFILE}"] if revisit else []),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -76,9 +83,9 @@ def parse(raw: bytes) -> dict:
     kind = fields["WARC-Type"]
     if kind == "response" and (len(payload) != n or digest(payload) != sha):
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-    number = lambda s: int(s[len("<urn:x-page:") : -1]) if len(s) > len("<urn:x-page:>") else None
-    url = fields.get("WARC-Target-URI")
-    return {"page_id": number(fields["WARC-Record-ID"]), "url": None if url is None else urllib.parse.unquote(url), "payload_bytes": n, "payload_digest": sha, "record_type": kind, "refers_to": number(fields["WARC-Refers-To"]) if kind == "revisit" else None, "payload": payload if kind == "response" else None}
+    number = lambda s: int(n) if (n := s.split(":")[2]) else None
+    url = json.loads(fields["X-Source-URL"]) if "X-Source-URL" in fields else fields.get("WARC-Target-URI")
+    return {"page_id": number(fields["WARC-Record-ID"]), "url": url, "payload_bytes": n, "payload_digest": sha, "record_type": kind, "refers_to": number(fields["WARC-Refers-To"]) if kind == "revisit" else None, "payload": payload if kind == "response" else None}
 
 
 # -- writing
