@@ -104,14 +104,16 @@ def test_caps_in_the_targets(spark):
 
 
 def cut_lines(text):
-    h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in text.split("\n")]
+    x = text.split("\n")
+    h = [int(hashlib.md5(line.encode()).hexdigest()[:7], 16) for line in x]
+    r = [((h[i - 1] if i else 0) * lines.BASE + h[i]) % lines.PRIME for i in range(len(x))]
     out, part = [], []
-    for i, line in enumerate(text.split("\n")):
+    for i, line in enumerate(x):
         part.append(line)
-        if (((h[i - 1] if i else 0) * lines.BASE + h[i]) % lines.PRIME) % lines.DIVISOR == 0:
+        if i == len(x) - 1 or (1 <= i <= len(x) - 3 and r[i] < r[i - 1] and r[i] <= r[i + 1]):
             out.append(part)
             part = []
-    return [*out, part] if part else out
+    return out
 
 
 def dedup_by_hand(rows):

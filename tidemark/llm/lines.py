@@ -1,9 +1,11 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
 A rolling hash over the hashes of ``WINDOW`` neighbouring lines puts a boundary after a line where it
-is divisible by ``DIVISOR``.  Boundaries follow the lines around them and not their place in the text,
-so a passage that two texts share is cut alike in both.  A chunk of two lines or more that occurs
-again, anywhere, is removed, all but its first occurrence (smallest doc_id, then place).
+is smaller than at the line before and not larger than at the line after.  Boundaries follow the lines around
+them and not their place in the text, so a passage that two texts share is cut alike in both; no two
+are neighbours and none cuts off a first or last line, so every chunk has two lines or more but that of a text
+of one line, which stays.  A chunk of two lines or more that occurs again, anywhere, is removed, all but its
+first occurrence (smallest doc_id, then place).
 
 Chunks are grouped by their text, so equality is equality of bytes, and partial aggregation shrinks a
 passage with a million copies to a row a task before the shuffle.  The verdicts go back by the MD5 of
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-WINDOW, DIVISOR, MIN_LINES = 2, 3, 2
+WINDOW, MIN_LINES = 2, 2
 PRIME, BASE = 2_147_483_647, 1_000_003
 NO_ID = (1 << 63) - 1
 
@@ -37,7 +39,7 @@ def let(value, body) -> F.Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def chunks_of(text, window: int = WINDOW, divisor: int = DIVISOR) -> F.Column:
+def chunks_of(text, window: int = WINDOW) -> F.Column:
     """The chunks of a text column in order, each an array of lines; time linear in the lines."""
 
     def rolling(h, i):
@@ -50,10 +52,13 @@ def chunks_of(text, window: int = WINDOW, divisor: int = DIVISOR) -> F.Column:
         start = lambda k: F.coalesce(F.get(ends, k - F.lit(1)), F.lit(0))
         return F.transform(ends, lambda e, k: F.slice(lines, start(k) + F.lit(1), e - start(k)))
 
-    def ends_of(lines, h):
-        return F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == F.size(lines)) | (rolling(h, i) % F.lit(divisor) == 0))
+    def ends_of(r):
+        n, at = F.size(r), lambda i: F.get(r, i - F.lit(1))
+        least = lambda i: (at(i) < at(i - F.lit(1))) & (at(i) <= at(i + F.lit(1)))
+        return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | ((i >= 2) & (i <= n - 2) & least(i)))
 
-    return let(F.split(text, "\n", -1), lambda lines: let(F.transform(lines, _hash31), lambda h: let(ends_of(lines, h), lambda ends: cut_at(lines, ends))))
+    roll = lambda h: F.transform(F.sequence(F.lit(1), F.size(h)), lambda i: rolling(h, i))
+    return let(F.split(text, "\n", -1), lambda lines: let(F.transform(lines, _hash31), lambda h: let(roll(h), lambda r: let(ends_of(r), lambda ends: cut_at(lines, ends)))))
 
 
 def _keys(id_col: str, text_col: str) -> list[F.Column]:
@@ -80,7 +85,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[k.alias(n) for k, n in zip(_keys(id_col, text_col), ("_rd", "_rm"), strict=True)])
     joined = rows.join(drop, (F.col("_rd") == F.col("_d")) & (F.col("_rm") == F.col("_m")), "left")
     t = row[text_col]
-    kept = let(F.coalesce(F.col("_drop"), F.array().cast("array<int>")), lambda gone: F.filter(chunks_of(t), lambda c, k: ~F.array_contains(gone, k)))
+    # Numbers that stay come from one hashed difference, so a text of many chunks takes time in proportion.
+    stay = lambda c: F.array_except(F.sequence(F.lit(0), F.size(c) - 1), F.coalesce(F.col("_drop"), F.array().cast("array<int>")))
+    kept = let(chunks_of(t), lambda c: F.transform(stay(c), lambda k: F.get(c, k)))
     n_lines = F.when(t.isNull(), 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit("\n"))) + 1).cast("long")
     new = F.when(F.col("_drop").isNull(), t).otherwise(F.array_join(F.flatten(kept), "\n"))
     left = F.when(F.col("_drop").isNull(), n_lines).otherwise(F.size(F.flatten(kept)).cast("long"))
@@ -95,7 +102,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLEAN_CTE = r"""
 ln AS (SELECT doc_id, i, t[i] AS line, ('0x' || md5(t[i])[1:7])::BIGINT AS h FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM src WHERE text IS NOT NULL) a) b),
-en AS (SELECT *, ((coalesce(lag(h) OVER w, 0) * 1000003 + h) % 2147483647) % 3 = 0 AS e FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ro AS (SELECT *, (coalesce(lag(h) OVER w, 0) * 1000003 + h) % 2147483647 AS r, count(*) OVER (PARTITION BY doc_id) AS n_doc FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+en AS (SELECT *, i BETWEEN 2 AND n_doc - 2 AND r < lag(r) OVER w AND r <= lead(r) OVER w AS e FROM ro WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 nu AS (SELECT *, (coalesce(sum(e::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS k FROM en),
 ch AS (SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM nu GROUP BY doc_id, k),
 rk AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY chunk, n >= 2 ORDER BY doc_id, k) > 1 AS gone FROM ch),
