@@ -227,6 +227,7 @@ def test_repeated_strings(spark, corpus):
     base = "".join(rng.choice("ab ") for _ in range(2500))
     pieces = [base[500:1700] + "x" + base[100:260], base[:99], base[:100], base, "é" * 300]
     pieces += [base[(a := rng.randrange(2400)) : a + rng.randrange(400)] + rng.choice("xyz") + base[(b := rng.randrange(2400)) : b + rng.randrange(200)] for _ in range(40)]
+    pieces += ["abcdefghi" * 300, "ab" * 900 + base[:150], " " * 30_000, "0123456789abcdef" * 90, "abcdefghi" * 150]
     seen, rows = set(), []
     for i, t, *_ in corpus:  # ids that occur twice have no order that a test could know
         if i not in seen and i is not None and len(t or "") < 20_000:
@@ -406,6 +407,59 @@ def test_hot_anchors(spark):
 
 def test_window_hashes():
     data = np.frombuffer(b"x" * 50 + b"ab" * 200, np.uint8)
-    item, start, a, b = suffixes.window_hashes(data, np.array([50, 0]), np.array([60, 0]))
+    item, start, a = suffixes.window_hashes(data, np.array([50, 0]), np.array([60, 0]))
     assert item.tolist() == [0] * 11 + [1] and start.tolist() == [*range(50, 61), 0]
-    assert len(set(zip(a.tolist(), b.tolist(), strict=True))) == 3 and a[0] == a[2] != a[1]
+    assert len(set(a.tolist())) == 3 and a[0] == a[2] != a[1]
+
+
+def test_windows_that_repeat_the_one_before():
+    rng = random.Random(18)
+    texts = [b"a" * 300, b"ab" * 120 + b"c" * 99, bytes(rng.randrange(97, 123) for _ in range(400)), b"abcdefgh" * 40, b"abcdefghi" * 40, b"x" * 99, b"x" * 100, b"x" * 101]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    spans = suffixes.anchors(data, offsets)[6]
+    want = []
+    for r, t in enumerate(texts):
+        gone = {s + k for s in range(len(t) - 99) for d in range(1, 9) if s >= d and t[s : s + 100] == t[s - d : s - d + 100] for k in range(100)}
+        want.append(gone)
+    got = [set() for _ in texts]
+    for r, a, b in spans.tolist():
+        got[r] |= set(range(a, b))
+    assert got == want and sum(map(len, want)) > 900
+
+
+def test_runs_are_packed_and_read():
+    data = np.frombuffer(b"0123456789" * 30, np.uint8)
+    c = suffixes.Chunk.__new__(suffixes.Chunk)
+    c.ids, c.data, c.offsets = np.array([7, -1]), data, np.array([0, 150, 300])
+    p = np.array([10, 200, 31])
+    raw = suffixes.make_run(c, p, p - 4, p + np.array([-4, -3, -2]), np.array([0, 1, 0]))
+    strings, lcp, left, doc, row, place = suffixes.read_run(raw)
+    assert strings == sorted(bytes(data[a : a + n]) for a, n in zip((10, 200, 31), (96, 97, 98), strict=True)) and lcp[0] == 0
+    assert doc.tolist() == [7, -1, 7] and row.tolist() == [0, 1, 0] and place.tolist() == [10, 50, 31] and left[0] == b"6789"
+
+
+@pytest.mark.parametrize("text", ["one byte", "two bytes", "nine bytes", "hot line"])
+def test_repetitive_texts_stay_in_memory(spark, text):
+    """8 MB of text that repeats itself, under a limit of memory, equal to what follows from its period."""
+    import resource
+
+    rng = random.Random(19)
+    n = 8_000_000
+    line = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    body = {"one byte": " " * n, "two bytes": "ab" * (n // 2), "nine bytes": "abcdefghi" * (n // 9), "hot line": "\n".join(line + f"{k:040d}" for k in range(n // 101))}[text]
+    c = suffixes.Chunk.__new__(suffixes.Chunk)
+    c.ids, c.data, c.offsets = np.array([1]), np.frombuffer(body.encode(), np.uint8), np.array([0, len(body)])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    p, lo, hi, h, whole, row, sure = suffixes.anchors(c.data, c.offsets)
+    stay, copies = suffixes.first_of_each(c, p, lo, hi, row, h ^ suffixes.mixed(whole))
+    gone = np.zeros(len(body) + 1, np.int32)
+    for spans in (sure, copies):
+        np.add.at(gone, spans[:, 1], 1)
+        np.add.at(gone, spans[:, 2], -1)
+    kept = int((np.cumsum(gone[:-1]) == 0).sum())
+    period = {"one byte": 1, "two bytes": 2, "nine bytes": 9, "hot line": None}[text]
+    if period:
+        assert period <= kept <= 2 * period and len(stay) < 50  # the first neighbourhood is cut short
+    else:
+        assert len(suffixes.make_run(c, p[stay], lo[stay], hi[stay], row[stay])) > 0
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 1200

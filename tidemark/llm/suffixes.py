@@ -17,14 +17,13 @@ on.  Suffixes of one anchor then stand together with what is to their left, and
 offset are compared, hash first and bytes after.
 
 Hot anchors.  A line shorter than a window that very many documents share gives as many different
-suffixes, and almost no repeat.  Chunks mark anchors with ``MANY`` different surroundings, and anchors whose marks add
-up to ``HOT`` are judged otherwise: each of their windows is sent by its own 128-bit hash, one of a kind from a
-chunk.  Such windows spread evenly, and a bucket without hot anchors stays small at any size of corpus.
+suffixes, and almost no repeat.  Chunks mark anchors with ``MANY`` different surroundings, and the windows of anchors
+whose marks add up to ``HOT`` are dealt out one by one: a window is a suffix of its own, filed under its hash
+instead of its anchor's.  Such windows spread evenly, and go through the same sorted runs, loser trees and comparison
+of bytes as all others, so the marks decide where a window is judged and never how.
 
-Everything travels packed, a row for each chunk and bucket.  Copies meet as one suffix a chunk, so a text
-with a million copies is no hot key.  The documents themselves are stored once, compressed, as chunk files
-in the shared folder and never shuffled.  Task attempts write files of their own and name them in the
-manifest, so work of lost executors is repeated or reread, never mixed up.
+Repetitive texts.  A window that equals the one up to ``PERIOD`` bytes before it is a repeat for certain, and is
+marked at once; so anchors are never dense, whatever the text.
 
 Null texts are empty.  Null ids count as the largest.  Of rows with equal ids the one read first counts as
 the earlier.  Extra columns are not read.  Long texts are worked through in slices; a chunk holds at least
@@ -34,6 +33,7 @@ one whole text.
 from __future__ import annotations
 
 import math
+import struct
 import uuid
 
 import numpy as np
@@ -45,8 +45,9 @@ from pyspark.sql import functions as F
 from .common import U64, bytes_of, cut, mixed, new_path, open_fs, spread, table
 
 WIDTH, GRAM, CHUNK_BYTES, SLICE, ANCHORS_IN_BUCKET, WINDOWS, MANY, HOT = 100, 36, 8_000_000, 1 << 20, 100_000, 1_000_000, 8, 512
+PERIOD, COMPARED = 8, 1 << 15
 NO_ID = (1 << 63) - 1
-_B, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_B = 0x9E3779B97F4A7C15
 EVEN = U64(2**64 - 2)  # the lowest bit of a hash carries a mark
 
 
@@ -60,19 +61,19 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def store(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame:
-    """Writes chunk files and returns their manifest (chunk, path, bytes)."""
+    """Writes chunk files and returns their manifest (chunk, path in the folder, bytes)."""
 
     def run(batches):
         part, seq, held, size, done = TaskContext.get().partitionId(), 0, [], 0, []
 
         def put():
-            url = f"{folder}/{uuid.uuid4().hex}.arrow"
-            fs, path = open_fs(url)
+            name = uuid.uuid4().hex
+            fs, path = open_fs(f"{folder}/{name}.arrow")
             fs.create_dir(path.rpartition("/")[0], recursive=True)
             with fs.open_output_stream(path) as f, pa.ipc.new_stream(f, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
                 for b in held:
                     w.write_batch(b)
-            done.append(((part << 24) + seq, url, size))
+            done.append(((part << 24) + seq, name, size))
 
         for b in batches:
             b = pa.RecordBatch.from_arrays([b.column(0).fill_null(NO_ID), b.column(1).fill_null("").cast(pa.binary())], names=["doc_id", "text"])
@@ -96,8 +97,8 @@ def store(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame
 class Chunk:
     """The documents of one chunk file."""
 
-    def __init__(self, url: str) -> None:
-        fs, path = open_fs(url)
+    def __init__(self, folder: str, name: str) -> None:
+        fs, path = open_fs(f"{folder}/{name}.arrow")
         with fs.open_input_stream(path) as f, pa.ipc.open_stream(f) as r:
             t = r.read_all().combine_chunks()
         self.ids = t["doc_id"].to_numpy()
@@ -108,14 +109,33 @@ class Chunk:
 # -- anchors
 
 
+def periodic(data: np.ndarray, end: np.ndarray, at: int, starts: int) -> np.ndarray:
+    """Which of the windows at at, at + 1, ... equal the one up to PERIOD bytes before them in their document."""
+    out, to = np.zeros(starts, bool), at + starts + WIDTH - 1
+    for d in range(1, PERIOD + 1):
+        lo = max(at, d)
+        # A window holds two whole strides of 32 bytes, whose first 8 show at a thirtieth of the cost if there can be any.
+        n = (to - lo) // 32
+        x, y = (np.lib.stride_tricks.as_strided(data[k:].view(np.uint8), (n, 8), (32, 1)).copy().view(U64)[:, 0] for k in (lo, lo - d)) if n else (np.empty(0, U64),) * 2
+        hit = x == y
+        if not (hit[1:] & hit[:-1]).any():
+            continue
+        run = np.zeros(to - lo + 1, np.int32)
+        # The byte d before must lie in the same document.
+        np.cumsum((data[lo:to] == data[lo - d : to - d]) & (end[lo:to] == end[lo - d : to - d]), out=run[1:])
+        out[lo - at :] |= (run[WIDTH:] - run[:-WIDTH] == WIDTH)[: starts - (lo - at)]
+    return out
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray):
     """For every run of windows that share an anchor: place of the anchor, first and last start of a
-    window, the k-gram's (even) hash, a hash of all bytes of the windows, and the row of the document."""
+    window, the k-gram's (even) hash, a hash of all bytes of the windows, and the row of the document.  Last
+    the (row, from, to) spans of windows that repeat the one just before them, which have no part in the rest."""
     n, span = len(data), WIDTH - GRAM + 1
     some = min(n, SLICE + 2 * WIDTH)
     power, back = _powers(_B, some + 1), _powers(pow(_B, -1, 2**64), some + 1)
     end = np.repeat(offsets[1:], np.diff(offsets))
-    out = []
+    out, sure = [], [np.empty((0, 3), np.int64)]
     for at in range(0, max(n - WIDTH + 1, 0), SLICE):
         starts = min(SLICE, n - WIDTH + 1 - at)
         x = data[at : at + starts + WIDTH - 1].astype(U64)
@@ -131,7 +151,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
         after = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].reshape(-1)
         least = np.minimum(after[:starts], before[span - 1 : span - 1 + starts])
         p = (least & U64((1 << 31) - 1)).astype(np.int64)
-        s = np.flatnonzero(np.arange(at, at + starts) + WIDTH <= end[at : at + starts])
+        inside = np.arange(at, at + starts) + WIDTH <= end[at : at + starts]
+        again = periodic(data, end, at, starts) & inside
+        if again.any():
+            k = np.flatnonzero(again) + at
+            row = np.searchsorted(offsets, k, "right") - 1
+            sure.append(window_spans(row, k - offsets[row]))
+        s = np.flatnonzero(inside & ~again)
         if len(s):
             first = np.flatnonzero(np.concatenate([[True], (np.diff(s) != 1) | (np.diff(p[s]) != 0)]))
             last = np.append(first[1:] - 1, len(s) - 1)
@@ -139,9 +165,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
             out.append((p[s[first]] + at, s[first] + at, s[last] + at, h[p[s[first]]] & EVEN, whole))
     if not out:
         z = np.empty(0, np.int64)
-        return z, z, z, z.astype(U64), z.astype(U64), z
+        return z, z, z, z.astype(U64), z.astype(U64), z, np.concatenate(sure)
     p, lo, hi, h, whole = (np.concatenate(c) for c in zip(*out, strict=True))
-    return p, lo, hi, h, whole, np.searchsorted(offsets, lo, "right") - 1
+    return p, lo, hi, h, whole, np.searchsorted(offsets, lo, "right") - 1, np.concatenate(sure)
 
 
 def bucket_of(h: np.ndarray, depth: int) -> np.ndarray:
@@ -160,19 +186,24 @@ def marked(h: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return h[first] | (kinds >= MANY).astype(U64)
 
 
-def pack(**arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed byte string."""
-    sink = pa.BufferOutputStream()
-    fields = [(k, pa.array([v.tobytes()], pa.binary())) for k, v in arrays.items()]
-    b = pa.RecordBatch.from_arrays([a for _, a in fields], names=[k for k, _ in fields])
-    with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
-        w.write_batch(b)
-    return sink.getvalue().to_pybytes()
+def pack(lcp, right, left, doc, row, place, rest: np.ndarray, before: np.ndarray) -> bytes:
+    """A run as one byte string: numbers of suffixes, of bytes to the right and to the left, and the columns one
+    after another.  At a large corpus most runs hold a suffix or two, so it has no other frame."""
+    columns = [x.astype(t) for x, t in zip((lcp, right, left, doc, row, place), RUN, strict=True)]
+    plain = b"".join(x.tobytes() for x in (*columns, rest, before))
+    small = pa.compress(plain, codec="zstd", asbytes=True)
+    return struct.pack("<III", len(lcp), len(rest), len(before)) + min(small, plain, key=len)
 
 
-def unpack(raw: bytes, **kinds) -> list[np.ndarray]:
-    b = pa.ipc.open_stream(raw).read_all().combine_chunks()
-    return [np.frombuffer(b[k][0].as_py(), t) for k, t in kinds.items()]
+def unpack(raw: bytes) -> list[np.ndarray]:
+    n, *more = struct.unpack_from("<III", raw)
+    size = n * sum(np.dtype(t).itemsize for t in RUN) + sum(more)
+    plain = raw[12:] if len(raw) - 12 == size else pa.decompress(raw[12:], size, codec="zstd", asbytes=True)
+    at, out = 0, []
+    for count, t in [*((n, t) for t in RUN), *((m, "u1") for m in more)]:
+        out.append(np.frombuffer(plain, t, count, at))
+        at += count * np.dtype(t).itemsize
+    return out
 
 
 # -- sorted runs
@@ -200,35 +231,28 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(1), differ.argmax(1), a.shape[1])
 
 
-RUN = {"lcp": np.uint8, "rest": np.uint8, "right": np.uint8, "left": np.uint8, "before": np.uint8, "doc": np.int64, "row": np.int64, "place": np.int64}
+#: Types of a run's columns: common prefix with the suffix before, bytes to the right and to the left of
+#: the anchor, document, row of the chunk, place in the document.
+RUN = ("u1", "u1", "u1", "<i8", "<i4", "<i4")
 
 
-def make_run(chunk: Chunk, p, lo, hi, row) -> tuple[bytes, np.ndarray]:
-    """A front-coded sorted run of the suffixes at p, and the (row, from, to) in-document spans of
-    bytes in copies within the chunk."""
+def make_run(chunk: Chunk, p, lo, hi, row) -> bytes:
+    """A front-coded sorted run of the suffixes at p."""
     right, left = hi + WIDTH - p, p - lo
     suffix, prefix = matrix(chunk.data, p, right, WIDTH), matrix(chunk.data, lo, left, WIDTH - GRAM)
-    doc = chunk.ids[row]
-    order = sorted_order(np.concatenate([suffix, prefix], 1), right, left, doc, row, p)
-    p, lo, hi, row, right, left, suffix, prefix, doc = (c[order] for c in (p, lo, hi, row, right, left, suffix, prefix, doc))
-    lcp = np.minimum(common(suffix[1:], suffix[:-1]), np.minimum(right[1:], right[:-1]))
-    copy = np.concatenate([[False], (lcp == right[1:]) & (right[1:] == right[:-1]) & (left[1:] == left[:-1]) & (prefix[1:] == prefix[:-1]).all(1)])
-    base = chunk.offsets[row]
-    spans = np.stack([row[copy], (lo - base)[copy], (hi + WIDTH - base)[copy]], 1)
-    k = np.flatnonzero(~copy)
-    # A copy equals the one before it, so prefixes between those that stay are unchanged.
-    lcp = np.minimum(common(suffix[k[1:]], suffix[k[:-1]]), np.minimum(right[k[1:]], right[k[:-1]])) if len(k) > 1 else np.empty(0, np.int64)
-    lcp = np.concatenate([np.zeros(min(len(k), 1), np.int64), lcp])
+    order = sorted_order(suffix, right, row, p)
+    p, row, right, left, suffix, prefix = (c[order] for c in (p, row, right, left, suffix, prefix))
+    lcp = np.zeros(len(p), np.int64)
+    lcp[1:] = np.minimum(common(suffix[1:], suffix[:-1]), np.minimum(right[1:], right[:-1]))
     at = np.arange(WIDTH)
-    rest = suffix[k][(at >= lcp[:, None]) & (at < right[k][:, None])]
-    before = prefix[k][np.arange(WIDTH - GRAM) < left[k][:, None]]
-    values = (lcp, rest, right[k], left[k], before, doc[k], row[k], (p - base)[k])
-    return pack(**{n: v.astype(t) for (n, t), v in zip(RUN.items(), values, strict=True)}), spans
+    rest = suffix[(at >= lcp[:, None]) & (at < right[:, None])]
+    before = prefix[np.arange(WIDTH - GRAM) < left[:, None]]
+    return pack(lcp, right, left, chunk.ids[row], row, p - chunk.offsets[row], rest, before)
 
 
 def read_run(raw: bytes) -> tuple[list[bytes], list[int], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes in order, their common prefixes with the one before, left parts, doc, row, place."""
-    lcp, rest, right, left, before, doc, row, place = unpack(raw, **RUN)
+    lcp, right, left, doc, row, place, rest, before = unpack(raw)
     rest, before = rest.tobytes(), before.tobytes()
     out, parts, at, to, last = [], [], 0, 0, b""
     for l, r, n in zip(lcp.tolist(), right.tolist(), left.tolist(), strict=True):  # noqa: E741
@@ -237,7 +261,7 @@ def read_run(raw: bytes) -> tuple[list[bytes], list[int], list[bytes], np.ndarra
         out.append(last)
         parts.append(before[to : to + n])
         to += n
-    return out, lcp.tolist(), parts, doc, row, place
+    return out, lcp.tolist(), parts, doc, row.astype(np.int64), place.astype(np.int64)
 
 
 def differ(a: bytes, b: bytes, at: int) -> int:
@@ -374,6 +398,11 @@ def spans_of(item: np.ndarray, off: np.ndarray, place: np.ndarray, which: np.nda
     return np.stack([item[first], start[first], start[last] + WIDTH], 1)
 
 
+def window_spans(row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """(row, from, to) of the bytes that windows at places cover."""
+    return spans_of(row, np.zeros(len(row), np.int64), place, np.arange(len(row)))
+
+
 def judge_bucket(raws: list[bytes], chunks: np.ndarray) -> list[np.ndarray]:
     """For each run the (row, from, to) spans that go."""
     runs = [read_run(r) for r in raws]
@@ -418,34 +447,43 @@ def judge_bucket(raws: list[bytes], chunks: np.ndarray) -> list[np.ndarray]:
 
 # -- windows of hot anchors
 
-DENSE = {"a": U64, "b": U64, "doc": np.int64, "row": np.int64, "place": np.int64}
 
-
-def window_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Item, start and two 64-bit hashes of every window from lo to hi of each item."""
+def window_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item, start and a 64-bit hash of every window from lo to hi of each item."""
     size = hi - lo + 1
     item = np.repeat(np.arange(len(lo)), size)
     start = np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-    out = []
-    for base in (_B, _B2):
-        h = np.zeros(len(item), U64)
-        for k in range(WIDTH):
-            h *= U64(base)
-            h += data[start + k] + U64(1)
-        out.append(mixed(h))
-    return item, start, *out
-
-
-def later(order: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which entries of order hold the same two hashes as the entry before them."""
-    out = np.zeros(len(order), bool)
-    out[1:] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
-    return out
-
-
-def window_spans(row: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """(row, from, to) of the bytes that windows at places cover."""
-    return spans_of(row, np.zeros(len(row), np.int64), place, np.arange(len(row)))
+    h = np.zeros(len(item), U64)
+    for k in range(WIDTH):
+        h *= U64(_B)
+        h += data[start + k] + U64(1)
+    return item, start, mixed(h)
+
+
+# -- copies within a chunk
+
+
+def first_of_each(chunk: Chunk, p, lo, hi, row, key) -> tuple[np.ndarray, np.ndarray]:
+    """Which neighbourhoods stay, and the (row, from, to) spans of the others: those that equal, byte for byte, an
+    earlier one of their key in the chunk.  Bytes are compared a slice at a time."""
+    key = mixed(key ^ mixed(((p - lo).astype(U64) << U64(32)) | (hi - lo).astype(U64)))
+    order = np.lexsort((p, row, chunk.ids[row], key))
+    same = np.concatenate([[False], key[order[1:]] == key[order[:-1]]])
+    first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    copy, of = order[same], first[same]
+    equal = np.ones(len(copy), bool)
+    at = np.arange(2 * WIDTH - GRAM)
+    for k in range(0, len(copy), COMPARED):
+        x, y = copy[k : k + COMPARED], of[k : k + COMPARED]
+        size = hi[x] + WIDTH - lo[x]
+        end = len(chunk.data) - 1
+        a, b = (chunk.data[np.minimum(lo[z][:, None] + at, end)] for z in (x, y))
+        equal[k : k + COMPARED] = ((a == b) | (at >= size[:, None])).all(1) & (hi[y] + WIDTH - lo[y] == size) & (p[y] - lo[y] == p[x] - lo[x])
+    gone = copy[equal]
+    stay = np.ones(len(p), bool)
+    stay[gone] = False
+    base = chunk.offsets[row[gone]]
+    return np.flatnonzero(stay), np.stack([row[gone], lo[gone] - base, hi[gone] + WIDTH - base], 1)
 
 
 # -- the job
@@ -456,7 +494,7 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 HASHES = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("path", pa.string()), ("hashes", pa.binary())])
-RUNS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("path", pa.string()), ("run", pa.binary()), ("dense", pa.binary()), ("spans", pa.binary())])
+RUNS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("path", pa.string()), ("run", pa.binary()), ("spans", pa.binary())])
 SPANS = pa.schema([("chunk", pa.int64()), ("path", pa.string()), ("spans", pa.binary())])
 DDL = {s: ", ".join(f"{f.name} {({'int64': 'bigint'}).get(str(f.type), str(f.type))}" for f in s) for s in (HASHES, RUNS, SPANS)}
 
@@ -464,7 +502,8 @@ DDL = {s: ", ".join(f"{f.name} {({'int64': 'bigint'}).get(str(f.type), str(f.typ
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (array of struct from, to: the bytes that go, in order) and kept (binary)."""
     spark = docs.sparkSession
-    manifest = store(docs, new_path(spark, "suffix-store"), id_col, text_col)
+    folder = new_path(spark, "suffix-store")
+    manifest = store(docs, folder, id_col, text_col)
     total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     wanted = max(total // ((WIDTH - GRAM + 2) // 2) // ANCHORS_IN_BUCKET, int(spark.conf.get("spark.sql.shuffle.partitions")))
     depth = max(1, round(math.log2(max(wanted, 2))))
@@ -475,7 +514,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def hashes(batches):
         for b in batches:
             for chunk, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c = Chunk(path)
+                c = Chunk(folder, path)
                 h = marked(*anchors(c.data, c.offsets)[3:5])
                 bucket = bucket_of(h, depth)
                 order = np.argsort(bucket, kind="stable")
@@ -503,57 +542,44 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def runs(t: pa.Table) -> pa.Table:
         chunk, path = t["chunk"][0].as_py(), t["path"][0].as_py()
-        c = Chunk(path)
-        p, lo, hi, h, _, row = anchors(c.data, c.offsets)
+        c = Chunk(folder, path)
+        p, lo, hi, h, whole, row, sure = anchors(c.data, c.offsets)
         known = np.frombuffer(b"".join(t["hashes"].to_pylist()), U64)
-        hot = np.isin(h, known[(known & U64(1)) == 1] & EVEN)
+        hot = known[(known & U64(1)) == 1] & EVEN
         here = np.sort(h)
         known = np.union1d(known & EVEN, here[1:][here[1:] == here[:-1]])
-        rows, spans = [], [np.empty((0, 3), np.int64)]
-
-        want = np.flatnonzero(np.isin(h, known) & ~hot)
-        bucket = bucket_of(h[want], depth)
+        k = np.flatnonzero(np.isin(h, known))
+        p, lo, hi, h, whole, row = (x[k] for x in (p, lo, hi, h, whole, row))
+        k, copies = first_of_each(c, p, lo, hi, row, h ^ mixed(whole))
+        p, lo, hi, h, row = (x[k] for x in (p, lo, hi, h, row))
+        spans, key = [sure, copies], h & EVEN
+        alone = np.isin(h, hot)
+        if alone.any():
+            item, start, by = window_hashes(c.data, lo[alone], hi[alone])
+            of = row[alone][item]
+            k, copies = first_of_each(c, start, start, start, of, by)
+            spans.append(copies)
+            p, lo, hi = (np.concatenate([x[~alone], start[k]]) for x in (p, lo, hi))
+            row, key = np.concatenate([row[~alone], of[k]]), np.concatenate([key[~alone], by[k]])
+        bucket = bucket_of(key, depth)
         order = np.argsort(bucket, kind="stable")
-        want, bucket = want[order], bucket[order]
-        for k in np.split(np.arange(len(want)), np.flatnonzero(np.diff(bucket)) + 1) if len(want) else []:
-            w = want[k]
-            raw, own = make_run(c, p[w], lo[w], hi[w], row[w])
-            rows.append([int(bucket[k[0]]), chunk, path, raw, None, None])
-            spans.append(own)
-
-        if hot.any():
-            w = np.flatnonzero(hot)
-            item, start, a, b = window_hashes(c.data, lo[w], hi[w])
-            of = row[w][item]
-            doc, place = c.ids[of], start - c.offsets[of]
-            order = np.lexsort((place, of, doc, b, a))
-            again = later(order, a, b)
-            spans.append(window_spans(of[order[again]], place[order[again]]))
-            order = order[~again]  # in order of a, so of the bucket as well
-            bucket = (a[order] >> U64(64 - depth)).astype(np.int64)
-            for x in np.split(order, np.flatnonzero(np.diff(bucket)) + 1):
-                rows.append([int(a[x[0]] >> U64(64 - depth)), chunk, path, None, pack(a=a[x], b=b[x], doc=doc[x], row=of[x], place=place[x]), None])
-        if rows:
-            # Any bucket hands them on; the hash keeps chunks from choosing the same one.
-            rows[int(mixed(np.array([chunk]))[0]) % len(rows)][5] = np.concatenate(spans).astype(np.int64).tobytes()
+        rows = []
+        for k in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+            rows.append([int(bucket[k[0]]), chunk, path, make_run(c, p[k], lo[k], hi[k], row[k]), None])
+        # Any bucket hands the spans on; the hash keeps chunks from choosing the same one.
+        spans, by = np.concatenate(spans).astype(np.int64), int(mixed(np.array([chunk]))[0])
+        if len(spans) and not rows:
+            rows.append([by % (1 << depth), chunk, path, None, None])
+        if len(spans):
+            rows[by % len(rows)][4] = spans.tobytes()
         return pa.Table.from_batches([_rows(rows, RUNS)])
 
     def judged(t: pa.Table) -> pa.Table:
-        chunks, runs, dense = t["chunk"].to_numpy(), t["run"].to_pylist(), t["dense"].to_pylist()
-        found = [np.empty((0, 3), np.int64)] * len(runs)
-        k = [i for i, r in enumerate(runs) if r]
-        for i, x in zip(k, judge_bucket([runs[i] for i in k], chunks[k]), strict=True):
+        chunks, packed = t["chunk"].to_numpy(), t["run"].to_pylist()
+        found = [np.empty((0, 3), np.int64)] * len(packed)
+        k = [i for i, r in enumerate(packed) if r]
+        for i, x in zip(k, judge_bucket([packed[i] for i in k], chunks[k]), strict=True):
             found[i] = x
-        k = [i for i, d in enumerate(dense) if d]
-        if k:
-            parts = [unpack(dense[i], **DENSE) for i in k]
-            of = np.repeat(np.array(k), [len(x[0]) for x in parts])
-            a, b, doc, row, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((place, row, chunks[of], doc, b, a))
-            gone = order[later(order, a, b)]
-            for i in np.unique(of[gone]).tolist():
-                mine = gone[of[gone] == i]
-                found[i] = window_spans(row[mine], place[mine])
         rows = []
         for chunk, path, own, more in zip(t["chunk"].to_pylist(), t["path"].to_pylist(), t["spans"].to_pylist(), found, strict=True):
             if own or len(more):
@@ -564,7 +590,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     out_type = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), ("kept", pa.binary())])
 
     def removed(t: pa.Table) -> pa.Table:
-        c = Chunk(t["path"][0].as_py())
+        c = Chunk(folder, t["path"][0].as_py())
         s = np.frombuffer(b"".join(x for x in t["spans"].to_pylist() if x), np.int64).reshape(-1, 3)
         edge = np.zeros(len(c.data) + 1, np.int32)
         base = c.offsets[s[:, 0]]
