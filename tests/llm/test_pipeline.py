@@ -69,7 +69,8 @@ def duck():
     import duckdb
 
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for name in ("documents", "pages", "conversations"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
     return c
 
 

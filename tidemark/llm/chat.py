@@ -144,3 +144,23 @@ def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "chat-formatted")
     format_paths(chosen_paths(trees), trees).write.option("compression", "zstd").parquet(out)
     return read_back(spark.read.parquet(out))
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+#: Escaping adds a character to a text for each control string in it; roles have their backslashes and line
+#: feeds escaped before that.  12 + 1 + 11 characters of template stand around a turn.
+_MARKS = _sql_text(_BARE.pattern)
+SQL = rf"""
+WITH r AS (SELECT conv_id, turn, role, text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{HARD}' UNION ALL SELECT -7, 1, 'assistant', '{HARD}'),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM r),
+e AS (SELECT *, replace(replace(role, '\', '\\'), chr(10), '\n') AS who FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(24 + length(who) + len(regexp_extract_all(who, {_MARKS})) + length(text) + len(regexp_extract_all(text, {_MARKS})))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""

@@ -158,3 +158,40 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def op1_repetition_quality(spark, sf_dir: str) -> DataFrame:
     return measure(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("verdict", F.when(F.col("kept"), "keep").when(F.col("base_failed"), "base").when(F.col("n_symbols") > SYMBOLS * F.col("n_words"), "symbols").otherwise("repetition"))
+
+
+def _grams(n: int) -> str:
+    """Measures of n-grams in SQL: windows not the first of their words, and the characters that they cover."""
+    repeat = ", count(*) FILTER (WHERE every_in) AS n_repeat_words" if n == BASE_NGRAM else ""
+    return f"""
+s{n} AS (SELECT doc_id, i, c, i + {n - 1} <= n AS whole, list_slice(t, i, i + {n - 1}) AS gram FROM wd),
+w{n} AS (SELECT doc_id, i, c, whole AND row_number() OVER (PARTITION BY doc_id, whole, gram ORDER BY i) > 1 AS later,
+                whole AND count(*) OVER (PARTITION BY doc_id, whole, gram) > 1 AS every FROM s{n}),
+c{n} AS (SELECT doc_id, c, max(later::INT) OVER w = 1 AS later_in, max(every::INT) OVER w = 1 AS every_in FROM w{n}
+         WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)),
+g{n} AS (SELECT doc_id, coalesce(sum(c) FILTER (WHERE later_in), 0)::BIGINT AS dup_{n}gram_chars{repeat} FROM c{n} GROUP BY doc_id),"""
+
+
+_LIMITS = " OR ".join(f"dup_{n}gram_chars > {most}::DOUBLE * greatest(word_chars, 1)" for n, most in NGRAM_SHARES.items())
+SQL = (
+    r"""
+WITH tx AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+wd AS (SELECT doc_id, t, len(t) AS n, i, length(t[i]) AS c FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM tx) a),
+wn AS (SELECT doc_id, count(*) AS n_words, sum(c)::BIGINT AS word_chars FROM wd GROUP BY doc_id),
+li AS (SELECT doc_id, i, x[i] AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(x, chr(10)) AS x FROM tx) a) b
+       WHERE regexp_matches(x[i], '[^\x20\x09-\x0D]')),
+la AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM li),
+lm AS (SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS line_chars, count(*) FILTER (WHERE again) AS n_dup_lines,
+              coalesce(sum(length(line)) FILTER (WHERE again), 0)::BIGINT AS dup_line_chars FROM la GROUP BY doc_id),"""
+    + "".join(map(_grams, NGRAM_SHARES))
+    + f"""
+al AS (SELECT tx.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, len(regexp_extract_all(x, '[#*$%&|<>]')) AS n_symbols,
+              coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+              coalesce(line_chars, 0) AS line_chars, coalesce(dup_line_chars, 0) AS dup_line_chars, {", ".join(f"coalesce(dup_{n}gram_chars, 0) AS dup_{n}gram_chars" for n in NGRAM_SHARES)}
+       FROM tx LEFT JOIN wn ON tx.doc_id = wn.doc_id LEFT JOIN lm ON tx.doc_id = lm.doc_id {" ".join(f"LEFT JOIN g{n} ON tx.doc_id = g{n}.doc_id" for n in NGRAM_SHARES)}),
+ba AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {BASE_PERCENT} * n_words AS base_failed FROM al),
+ve AS (SELECT *, NOT (base_failed OR n_dup_lines > {DUP_LINES}::DOUBLE * n_lines OR dup_line_chars > {DUP_LINE_CHARS}::DOUBLE * line_chars
+                      OR n_symbols > {SYMBOLS}::DOUBLE * n_words OR {_LIMITS}) AS kept FROM ba)
+SELECT *, CASE WHEN kept THEN 'keep' WHEN base_failed THEN 'base' WHEN n_symbols > {SYMBOLS}::DOUBLE * n_words THEN 'symbols' ELSE 'repetition' END AS verdict FROM ve
+"""
+)

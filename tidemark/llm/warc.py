@@ -254,3 +254,14 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
     return read_archives(manifest, payloads=False).drop("url")
+
+
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS head FROM pages),
+d AS (SELECT *, sha1(html) AS hex FROM p)
+SELECT page_id, strlen(html) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(hex, (k // 8)::INT * 10 + 1, 10))::BIGINT >> (35 - 5 * (k % 8))::INT) & 31) + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to
+FROM d
+"""
