@@ -120,3 +120,29 @@ def test_prefix_range():
 def test_diff(spark):
     got = {(r["key"], r["old_value"], r["new_value"], r["change"]) for r in resolve.diff(frame(spark, SNAPSHOTS), 3, 5).collect()}
     assert got == {("b", "1", None, "delete"), ("c", None, "1", "insert")}
+
+
+def test_overlapping_runs_meet_in_one_bin(spark):
+    rng = random.Random(31)
+    runs = []
+    for r in range(300):
+        a, b = sorted((rng.randrange(10_000), rng.randrange(10_000)) if r % 9 == 0 else (x := rng.randrange(9_990), x + rng.randrange(10)))
+        runs.append((r, f"user{a:06}", f"user{b:06}"))
+    runs += [(300, "user000005", "user000005"), (301, "user000005", "user000005"), (302, "u", "v")]
+    df = spark.createDataFrame(runs, "run_id long, first_key string, last_key string")
+    want = sorted((a, b) for a, fa, la in runs for b, fb, lb in runs if a < b and fa <= lb and fb <= la)
+    for d in (df, df.selectExpr("run_id", "cast(first_key AS binary) first_key", "cast(last_key AS binary) last_key")):
+        assert sorted(map(tuple, resolve.overlapping_runs(d).collect())) == want
+    assert resolve.overlapping_runs(df.limit(0)).count() == 0
+
+
+def test_conflicts_by_sweep(spark, monkeypatch):
+    """Against all pairs, with slices shorter than transactions, ties, a hot key and keys nobody wrote."""
+    monkeypatch.setattr(resolve, "SLICE", 16)
+    rng = random.Random(32)
+    reads = [(t, (c := rng.randrange(400)) - rng.randrange(1, 60), c, rng.choice(["hot", "hot", "a", "b", "c", "none"])) for t in range(400)]
+    writes = [(rng.randrange(400), rng.choice(["hot", "a", "b", "c", "d"])) for _ in range(120)]
+    got = resolve.conflicts(spark.createDataFrame(reads, "txn long, read_ts long, commit_ts long, key string"), spark.createDataFrame(writes, "commit_ts long, key string"))
+    want = sorted({t for t, r, c, k in reads if any(k == kw and r < w < c for w, kw in writes)})
+    assert sorted(r["txn"] for r in got.collect()) == want and 0 < len(want) < 400
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "SortMergeJoin" not in got._jdf.queryExecution().analyzed().toString()

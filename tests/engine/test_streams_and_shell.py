@@ -43,8 +43,8 @@ def test_shell(spark, tmp_path):
     t = VersionedTable.at(spark, f"file://{tmp_path}/t")
     said = []
     cli.run(t, ["fill 1 12", "del 3", "get 3", "get 4", "scan 10 2", "flush", "scan", "full_compaction", "dump", "nonsense", "quit"], said.append)
-    assert said[0] == "12 values filled with epoch 0"
+    assert said[0] == "round 0 wrote 12 rows"
     assert "3 does not exist" in said and "4=value4@0" in said
     # Keys are text: 10, 11, 12, 2 lie between "10" and "2".
-    assert said[said.index("4 keys scanned") - 1] == "2=value2@0" and "11 keys scanned" in said
+    assert said[said.index("rows in range: 4") - 1] == "2=value2@0" and "rows in range: 11" in said
     assert said[-1] == "not a command: nonsense" and not t.open

@@ -285,3 +285,34 @@ def test_describe(spark, path):
     t.put("a", "1")
     t.flush()
     assert {r["place"] for r in t.describe().collect()} == {"buffer", "l0"}
+
+
+def test_many_loads_are_one_scan(spark, tmp_path):
+    """The plan of a read does not grow with the loads that are not compacted yet."""
+    t = VersionedTable.at(spark, f"file://{tmp_path}/a table, 100%", Options())
+    for i in range(12):
+        t.write_frame(spark.createDataFrame([(f"k{j}", f"v{i}.{j}") for j in range(i, i + 3)], "key string, value string"))
+    got = t.scan()
+    assert {bytes(r["key"]).decode(): bytes(r["value"]).decode() for r in got.collect()} == {f"k{j}": f"v{min(j, 11)}.{j}" for j in range(14)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("] parquet") == 1
+    assert sorted((bytes(r["key"]), r["ts"]) for r in t.versions().collect()) == sorted((f"k{j}".encode(), i + 1) for i in range(12) for j in range(i, i + 3))
+    t.close()
+
+
+def test_background_failures_reach_the_caller(spark, tmp_path, monkeypatch):
+    t = VersionedTable.at(spark, f"file://{tmp_path}/t", Options())
+    monkeypatch.setattr(t, "maintain", lambda: 1 / 0)
+    t.start_background()
+    t._thread.join(10)
+    with pytest.raises(RuntimeError):
+        t.get("a")
+    t.close()
+
+
+def test_vacuum_keeps_live_files_of_folders_with_blanks(spark, tmp_path):
+    t = VersionedTable.at(spark, f"file://{tmp_path}/a table, 100%", Options())
+    for i in range(2):
+        t.write_frame(spark.createDataFrame([("a", str(i))], "key string, value string"))
+    t.full_compaction()
+    assert len(t.vacuum(0)) == 2 and t.get("a") == b"1"
+    t.close()

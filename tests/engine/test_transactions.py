@@ -170,3 +170,27 @@ def test_context_manager(table):
         t.put("a", "2")
         raise RuntimeError
     assert table.get("a") == b"1" and len(table.readers) == 0
+
+
+def test_many_written_keys_are_checked_by_one_join(spark, tmp_path):
+    t = VersionedTable.at(spark, f"file://{tmp_path}/t", Options(serializable=True))
+    t.write_frame(spark.createDataFrame([(f"k{i:05}", "0") for i in range(50)], "key string, value string"))
+    for written, fails in (([f"n{i:05}" for i in range(10_000)], False), ([f"n{i:05}" for i in range(9_999)] + ["k00007"], True)):
+        a, b = t.begin(), t.begin()
+        a.scan().count()
+        a.put("own", "1")
+        for k in written:
+            b.put(k, "2")
+        b.commit()
+        t.get = lambda *_: pytest.fail("a job a key")
+        try:
+            if fails:
+                with pytest.raises(ConflictError):
+                    a.commit()
+            else:
+                a.commit()
+                t.full_compaction()
+                t.write_batch([Delete(k) for k in written])
+        finally:
+            del t.get
+    t.close()

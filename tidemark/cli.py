@@ -25,7 +25,7 @@ def run(table: VersionedTable, lines: Iterable[str], say=print) -> None:
             case "fill", [first, last]:
                 batch = [Put(str(i), f"value{i}@{n}") for i in range(int(first), int(last) + 1)]
                 table.write_batch(batch)
-                say(f"{len(batch)} values filled with epoch {n}")
+                say(f"round {n} wrote {len(batch)} rows")
             case "put", [key, value]:
                 table.put(key, value)
             case "del", [key]:
@@ -39,7 +39,7 @@ def run(table: VersionedTable, lines: Iterable[str], say=print) -> None:
                 for r in table.scan(keys).toLocalIterator():
                     say(f"{bytes(r['key']).decode(errors='replace')}={bytes(r['value']).decode(errors='replace')}")
                     count += 1
-                say(f"{count} keys scanned")
+                say(f"rows in range: {count}")
             case "dump", []:
                 for r in table.describe().collect():
                     say(f"{r['place']} {r['number']}: file {r['file_id']}, {r['n_rows']} rows, {r['n_bytes']} bytes")

@@ -19,6 +19,10 @@ from ..functions.keys import ALL_KEYS, KeyRange
 LOCAL_TS = (1 << 63) - 1
 
 
+#: Bins of the key space in an overlap join; length of a slice of time in a sweep for conflicts.
+BINS, SLICE = 64, 1 << 16
+
+
 def visible(log: DataFrame, read_ts: int | None = None, keys: KeyRange = ALL_KEYS) -> DataFrame:
     """Versions inside the key range that a reader at read_ts may see."""
     out = log.where(keys.predicate(F.col("key")))
@@ -145,10 +149,31 @@ def runs_in_range(stats: DataFrame, keys: KeyRange) -> DataFrame:
 
 
 def overlapping_runs(stats: DataFrame, run: str = "run_id") -> DataFrame:
-    """Pairs of runs (a < b) whose key spans meet.  File metadata only: a row a file."""
-    a = stats.select(F.col(run).alias("run_a"), F.col("first_key").alias("fa"), F.col("last_key").alias("la"))
-    b = stats.select(F.col(run).alias("run_b"), F.col("first_key").alias("fb"), F.col("last_key").alias("lb"))
-    return a.join(b, (F.col("fa") <= F.col("lb")) & (F.col("fb") <= F.col("la")) & (F.col("run_a") < F.col("run_b"))).select("run_a", "run_b")
+    """Pairs of runs (a < b) whose key spans meet.  File metadata only: a row a file.
+
+    Spans are filed under bins of the key space, whose edges are quantiles of the first keys, and meet in the
+    bin in which the later of them starts; so runs that lie apart are never compared, however many there are."""
+    number = _key_numbers(stats)
+    edges = stats.agg(F.percentile_approx(number("first_key"), [k / BINS for k in range(1, BINS)])).first()[0] or []
+    edges = sorted(set(edges))
+    bin_of = lambda c: F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= number(c))) if edges else F.lit(0)
+    spans = stats.select(run, "first_key", "last_key", bin_of("first_key").alias("_from"), bin_of("last_key").alias("_to"))
+    filed = spans.withColumn("_bin", F.explode(F.sequence("_from", "_to")))
+    a = filed.select("_bin", F.col(run).alias("run_a"), F.col("first_key").alias("fa"), F.col("last_key").alias("la"), F.col("_from").alias("_a"))
+    b = filed.select("_bin", F.col(run).alias("run_b"), F.col("first_key").alias("fb"), F.col("last_key").alias("lb"), F.col("_from").alias("_b"))
+    meet = (F.col("fa") <= F.col("lb")) & (F.col("fb") <= F.col("la")) & (F.col("run_a") < F.col("run_b"))
+    return a.join(b, "_bin").where(meet & (F.col("_bin") == F.greatest("_a", "_b"))).select("run_a", "run_b")
+
+
+def _key_numbers(stats: DataFrame):
+    """A function from a key column to an integer in the order of keys: the 7 bytes behind what all first and last
+    keys have in common."""
+    low, high = (r if r is None else bytes(r) if isinstance(r, bytearray | bytes) else r.encode() for r in stats.agg(F.min("first_key"), F.max("last_key")).first())
+    shared = 0
+    while low and high and shared < min(len(low), len(high)) and low[shared] == high[shared]:
+        shared += 1
+    digits = lambda c: F.substring(F.rpad(F.hex(F.col(c).cast("binary")), 2 * shared + 14, "0"), 2 * shared + 1, 14)
+    return lambda c: F.conv(digits(c), 16, 10).cast("long")
 
 
 def space(log: DataFrame, value: str = "value") -> DataFrame:
@@ -173,10 +198,21 @@ def diff(log: DataFrame, old_ts: int, new_ts: int, value: str = "value") -> Data
 
 def conflicts(reads: DataFrame, writes: DataFrame) -> DataFrame:
     """Transactions (txn, read_ts, key read) that must abort: a key they read was committed after they
-    began.  reads: txn, read_ts, commit_ts, key; writes: commit_ts, key."""
-    w = writes.select(F.col("key").alias("_k"), F.col("commit_ts").alias("_c"))
-    hit = (F.col("key") == F.col("_k")) & (F.col("_c") > F.col("read_ts")) & (F.col("_c") < F.col("commit_ts"))
-    return reads.join(w, hit, "left_semi").select("txn").distinct()
+    began.  reads: txn, read_ts, commit_ts, key; writes: commit_ts, key.
+
+    A sweep in time, not a join: the last write of the key before a transaction commits decides.  Times are cut in
+    slices of SLICE, inside which a window runs; of each slice its last write is handed to the next ones,
+    so a hot key spreads over as many tasks as it has slices."""
+    marks = reads.select("key", F.col("commit_ts").alias("at"), "txn", "read_ts", F.lit(None).cast("long").alias("wrote"))
+    marks = marks.unionByName(writes.select("key", F.col("commit_ts").alias("at"), F.lit(None).cast(reads.schema["txn"].dataType).alias("txn"), F.lit(None).cast("long").alias("read_ts"), F.col("commit_ts").cast("long").alias("wrote")))
+    marks = marks.withColumn("slice", F.floor(F.col("at") / SLICE))
+    slices = marks.groupBy(F.col("key").alias("_k"), F.col("slice").alias("_s")).agg(F.max("wrote").alias("_last"))
+    earlier = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select("_k", "_s", F.max("_last").over(earlier).alias("_before"))
+    inside = Window.partitionBy("key", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    seen = marks.withColumn("_near", F.max("wrote").over(inside)).where(F.col("read_ts").isNotNull())
+    seen = seen.join(slices, F.col("key").eqNullSafe(F.col("_k")) & (F.col("slice") == F.col("_s")))
+    return seen.where(F.greatest("_near", "_before") > F.col("read_ts")).select("txn").distinct()
 
 
 def dedupe_batch(records: DataFrame, ordinal: str = "ord") -> DataFrame:

@@ -17,6 +17,8 @@ from .operators import resolve
 from .operators.split import with_file
 from .plans.layout import NoCompaction
 from .plans.leveled import Leveled
+from .plans.simple import SimpleLeveled
+from .plans.tiered import Tiered
 from .sources.table import Options, VersionedTable
 
 
@@ -171,7 +173,7 @@ def run_overlap(spark, sf):
 def occ_conflicts(spark, sf):
     """Each event is a transaction that began 40 events before and read its user's key."""
     log = version_log(spark, sf)
-    reads = log.where(F.col("ts") % 7 == 0).select(F.col("ts").alias("txn"), (F.col("ts") - 40).alias("read_ts"), F.col("ts").alias("commit_ts"), "key")
+    reads = log.select(F.col("ts").alias("txn"), (F.col("ts") - 40).alias("read_ts"), F.col("ts").alias("commit_ts"), "key")
     return resolve.conflicts(reads, log.select(F.col("ts").alias("commit_ts"), "key"))
 
 
@@ -251,8 +253,22 @@ def table_leveled(spark, sf):
     return t.scan().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
+def _compacted_by(policy):
+    def query(spark, sf):
+        log = version_log(spark, sf)
+        t = VersionedTable.at(spark, _workdir(spark), Options(policy=policy))
+        last = last_ts(log)
+        for i in range(6):
+            t.write_frame(log.where((F.col("ts") > last * i // 6) & (F.col("ts") <= last * (i + 1) // 6)).select("key", "value", "ts"), "load", i, "ts")
+            t.maintain()
+        return t.scan().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+    return query
+
+
 QUERIES = {f.__name__: f for f in (snapshot_scan, latest_scan, range_scan, inverted_range, point_get, seek, first_n, prefix_scan, key_only_scan, version_history, version_count, newest_run_wins, run_merge, two_way_merge, txn_overlay, gc_unversioned, run_meta, run_prune, run_prune_range, run_overlap, occ_conflicts, batch_last_wins, out_split, space_amp, time_travel_diff, latest_by_user_typed, table_scan, table_compacted, table_leveled)}
 QUERIES |= {f"bounds_{low}_{high}": _range(ENDS[low][0], ENDS[high][1]) for low in ENDS for high in ENDS}
+QUERIES |= {"table_simple": _compacted_by(SimpleLeveled()), "table_tiered": _compacted_by(Tiered(num_tiers=3))}
 QUERIES |= {"gc_nonbottom": _gc(False), "gc_bottom": _gc(True), "gc_filter": _gc(True, ("000000001",))}
 
 SQL = {
@@ -276,7 +292,7 @@ SQL = {
     "run_prune": f"WITH {LOG} SELECT run_id FROM log GROUP BY run_id HAVING min(key) <= '0000000000' AND max(key) >= '0000000000'",
     "run_prune_range": f"WITH {LOG} SELECT run_id FROM log GROUP BY run_id HAVING max(key) > '0000000010' AND min(key) < '0000000011'",
     "run_overlap": f"WITH {LOG}, r AS (SELECT run_id, min(key) AS f, max(key) AS l FROM log GROUP BY run_id) SELECT a.run_id AS run_a, b.run_id AS run_b FROM r a JOIN r b ON a.f <= b.l AND b.f <= a.l AND a.run_id < b.run_id",
-    "occ_conflicts": f"WITH {LOG} SELECT DISTINCT t.ts AS txn FROM log t JOIN log w ON t.key = w.key AND w.ts > t.ts - 40 AND w.ts < t.ts WHERE t.ts % 7 = 0",
+    "occ_conflicts": f"WITH {LOG} SELECT DISTINCT t.ts AS txn FROM log t JOIN log w ON t.key = w.key AND w.ts > t.ts - 40 AND w.ts < t.ts",
     "batch_last_wins": f"WITH {LOG} SELECT run_id, key, ts AS ord, value FROM (SELECT *, row_number() OVER (PARTITION BY run_id, key ORDER BY ts DESC) AS rn FROM log) s WHERE rn = 1",
     "out_split": f"WITH {LOG}, k AS (SELECT key, cast(sum(length(key) + coalesce(length(value), 0) + 8) AS bigint) AS key_bytes FROM log GROUP BY key) SELECT key, key_bytes, cast(floor(coalesce(sum(key_bytes) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 16384) AS bigint) AS file_no FROM k",
     "space_amp": f"WITH {LOG} SELECT (SELECT count(*) FROM log) AS stored, (SELECT count(*) FROM ({newest_sql()}) s WHERE value IS NOT NULL) AS live",
@@ -286,6 +302,8 @@ SELECT n.key, o.value AS old_value, n.value AS new_value, CASE WHEN o.value IS N
     "table_scan": snap_sql("key > '0000000002'", "key, value"),
     "table_compacted": f"WITH {LOG}, w AS (SELECT *, {HALF} AS w FROM log), m AS (SELECT *, row_number() OVER (PARTITION BY key, ts <= w ORDER BY ts DESC) AS rn, max(ts) OVER (PARTITION BY key) AS mx FROM w) SELECT key, ts, value FROM m WHERE ts > w OR (rn = 1 AND NOT (value IS NULL AND ts = mx))",
     "table_leveled": snap_sql("TRUE", "key, value"),
+    "table_simple": snap_sql("TRUE", "key, value"),
+    "table_tiered": snap_sql("TRUE", "key, value"),
     "gc_nonbottom": _gc_sql(False),
     "gc_bottom": _gc_sql(True),
     "gc_filter": _gc_sql(True, "000000001"),

@@ -41,17 +41,23 @@ class ClosedError(RuntimeError):
     """Use of a finished transaction or a closed table."""
 
 
+#: Files whose timestamps are broadcast at most; beyond it a shuffle joins them.
+MANY_FILES = 100_000
+
+
 @dataclass(frozen=True)
 class Options:
     """policy: NoCompaction, SimpleLeveled, Tiered or Leveled.
 
-    file_bytes is the size at which the buffer freezes and output files are cut; frozen_limit the number of
+    file_bytes is the size at which output files are cut; buffer_bytes, or file_bytes if that is smaller, the size
+    at which the buffer freezes; frozen_limit the number of
     buffers, the open one included, at which maintenance flushes.  durable_writes logs every batch before it
     shows.  serializable validates transactions at commit; isolation "range" also finds phantoms.
     """
 
     policy: object = field(default_factory=NoCompaction)
-    file_bytes: int = 2 << 20
+    file_bytes: int = 256 << 20
+    buffer_bytes: int = 2 << 20
     frozen_limit: int = 2
     durable_writes: bool = True
     serializable: bool = False
@@ -131,7 +137,7 @@ class VersionedTable:
         self.readers, self.pins = Watermark(), Counter()
         self.filters: list[bytes] = []
         self.recent: list[Commit] = []
-        self.open = True
+        self.open, self.failure = True, None
         self._thread: threading.Thread | None = None
         saved = self.log.last_state()
         self.state = self._load_state(*saved) if saved else State(layout=options.policy.start())
@@ -177,7 +183,7 @@ class VersionedTable:
     def _buffered(self, s: State, c: Commit) -> State:
         self.recent.append(c)
         s = replace(s, latest_ts=max(s.latest_ts, c.ts), buffers=(*s.buffers[:-1], (*s.buffers[-1], c)))
-        if sum(x.size() for x in s.buffers[-1]) >= self.options.file_bytes:
+        if sum(x.size() for x in s.buffers[-1]) >= min(self.options.buffer_bytes, self.options.file_bytes):
             s = replace(s, buffers=(*s.buffers, ()))
         return s
 
@@ -220,6 +226,9 @@ class VersionedTable:
     def _check_open(self) -> None:
         if not self.open:
             raise ClosedError("the table is closed")
+        if self.failure:
+            error, self.failure = self.failure, None
+            raise RuntimeError("background maintenance has stopped") from error
 
     # -- writing
 
@@ -291,7 +300,9 @@ class VersionedTable:
         writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(folder)
         stats = self.spark.read.schema(VERSION_SCHEMA).parquet(folder).groupBy(F.input_file_name().alias("path"))
         stats = stats.agg(F.min("key").alias("first"), F.max("key").alias("last"), F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("*").alias("n"))
-        out = [SortedFile(0, r["path"], bytes(r["first"]), bytes(r["last"]), r["lo"], r["hi"], r["n"], self.log.size(r["path"]), unique) for r in stats.collect()]
+        # The column has escapes where a folder's name has blanks or the like; the file's own name has none.
+        found = [(f"{folder}/{r['path'].rpartition('/')[2]}", r) for r in stats.collect()]
+        out = [SortedFile(0, path, bytes(r["first"]), bytes(r["last"]), r["lo"], r["hi"], r["n"], self.log.size(path), unique) for path, r in found]
         return sorted(out, key=lambda f: f.first_key)
 
     # -- reading
@@ -305,9 +316,17 @@ class VersionedTable:
             if f not in stored:
                 stamped.setdefault(f.max_ts, []).append(f)
         parts = [self.spark.read.schema(VERSION_SCHEMA).parquet(*(f.path for f in stored))] if stored else []
-        for ts, fs in stamped.items():
-            part = self.spark.read.schema(VERSION_SCHEMA).parquet(*(f.path for f in fs))
-            parts.append(part.withColumn("ts", F.lit(ts).cast("long")))
+        if len(stamped) == 1:
+            (ts, fs), = stamped.items()
+            parts.append(self.spark.read.schema(VERSION_SCHEMA).parquet(*(f.path for f in fs)).withColumn("ts", F.lit(ts).cast("long")))
+        elif stamped:
+            # One scan whatever the number of loads; a file's timestamp comes by its name, which no two files share.
+            name = lambda f: f.path.rpartition("/")[2]
+            when = self.spark.createDataFrame([(name(f), ts) for ts, fs in stamped.items() for f in fs], "_name string, ts long")
+            part = self.spark.read.schema(VERSION_SCHEMA).parquet(*(f.path for fs in stamped.values() for f in fs))
+            part = part.select("key", "value", F.col("_metadata.file_name").alias("_file"))
+            few = sum(map(len, stamped.values())) <= MANY_FILES
+            parts.append(part.join(F.broadcast(when) if few else when, F.col("_file") == F.col("_name")).select("key", "ts", "value"))
         out = None
         for p in parts:
             out = p if out is None else out.unionByName(p)
@@ -463,7 +482,11 @@ class VersionedTable:
     def start_background(self, seconds: float = 0.05) -> None:
         def loop() -> None:
             while self.open:
-                self.maintain()
+                try:
+                    self.maintain()
+                except Exception as e:  # the next call on the table raises it
+                    self.failure = e if self.open else None
+                    return
                 time.sleep(seconds)
 
         self._thread = threading.Thread(target=loop, daemon=True)
@@ -473,7 +496,7 @@ class VersionedTable:
         """Deletes data files that neither this version nor an open snapshot names and that are old
         enough for no other process to read them."""
         named = {f.path for f in self.state.layout.files()} | {p for p, n in self.pins.items() if n > 0}
-        strip = lambda p: p.split(":", 1)[-1].lstrip("/")  # noqa: E731  file:/x and file:///x are one
+        strip = lambda p: tuple(p.rsplit("/", 2)[1:])  # noqa: E731  folders have names of their own, however the table is written
         keep, gone = {strip(p) for p in named}, []
         for path, changed in self.log.data_files():
             if strip(path) not in keep and time.time() - changed >= older_than_seconds:

@@ -7,7 +7,7 @@ import weakref
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import ALL_KEYS, KeyRange, as_bytes
+from ..functions.keys import ALL_KEYS, KeyRange, as_bytes, included
 from ..operators import resolve
 from .table import ClosedError, Commit, ConflictError, State, VersionedTable
 
@@ -120,7 +120,13 @@ class Transaction:
         hits = [k for k in c.rows if any(r.contains(k) for r in self.ranges_read)]
         if self.table.options.isolation == "range":
             return bool(hits)
-        return any(self.table.get(k, self.state, self.read_ts) is not None for k in hits)
+        if len(hits) < 2:
+            return any(self.table.get(k, self.state, self.read_ts) is not None for k in hits)
+        # One semi-join, whatever the number of written keys.
+        span = KeyRange(included(min(hits)), included(max(hits)))
+        seen = resolve.live(resolve.newest(self.table.versions(self.state, span, self.read_ts)))
+        written = self.table._rows_frame([(k, 0, None) for k in hits]).select("key")
+        return not seen.join(written, "key", "left_semi").isEmpty()
 
     def _meets_files(self, c: Commit) -> bool:
         """The same for a bulk load, by a semi-join on its files."""
