@@ -2,7 +2,7 @@ import uuid
 
 import pytest
 
-from tidemark.functions.keys import KeyRange, Put, excluded, included
+from tidemark.functions.keys import Delete, KeyRange, Put, excluded, included
 from tidemark.sources.table import ClosedError, ConflictError, Options, VersionedTable, Watermark
 
 
