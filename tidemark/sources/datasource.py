@@ -12,16 +12,17 @@ keeps the vectorised Parquet reader, and is the main way to read.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions.keys import Bound, KeyRange, as_bytes
+from .log import CorruptLog, parse
 
 
 def register(spark) -> None:
@@ -49,27 +50,52 @@ class TidemarkSource(DataSource):
         return TidemarkReader(self.options)
 
 
+def _open(path: str):
+    """(file system, path) of a table's file as the log names it, that is without escapes."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(quote(re.sub(r"^file:/(?!/)", "file:///", path), safe="/:@") if re.match(r"\w+:", path) else path)
+
+
 def _state(path: str) -> tuple[list[dict], list[list]]:
-    """Files and buffered batches of the newest version, by the log's own records."""
+    """Files and buffered batches of the newest version: the newest state file and the records after it.  As when
+    a table is opened, a torn last record is left out and any other damage is an error."""
     from pyarrow import fs
 
-    files, root = fs.FileSystem.from_uri(path)
-    infos = files.get_file_info(fs.FileSelector(f"{root}/_log"))
-    logs = sorted(i.path for i in infos if re.fullmatch(r"\d{20}\.json", os.path.basename(i.path)))
+    files, root = _open(path)
+    names = [os.path.basename(i.path) for i in files.get_file_info(fs.FileSelector(f"{root}/_log"))]
+    numbers = lambda kind: sorted(int(n[:20]) for n in names if re.fullmatch(rf"\d{{20}}\.{kind}", n))
+
+    def record(version: int, kind: str) -> dict | None:
+        with files.open_input_stream(f"{root}/_log/{version:020d}.{kind}") as f:
+            return parse(f.read(), f"{version}.{kind}")
+
     live: dict[int, dict] = {}
     batches: list[list] = []
-    for p in logs:
-        with files.open_input_stream(p) as f:
-            record = json.loads(f.read().split(b"\n", 1)[1])
-        if record["op"] == "batch":
-            batches.append([record["ts"], record["rows"]])
-        if record["op"] == "flush":
-            batches = [b for b in batches if b[0] > record["upto"]]
-        if record["op"] == "compact":
-            for _, ids in record["task"]["inputs"]:
+    after = -1
+    for v in reversed(numbers("state")):
+        if (saved := record(v, "state")) is not None:
+            placed = [*saved["l0"], *(f for _, fs_ in saved["levels"] for f in fs_)]
+            live, batches, after = {f["file_id"]: f for f in placed}, [b for group in saved["buffers"] for b in group], v
+            break
+    todo = [v for v in numbers("json") if v > after]
+    for k, v in enumerate(todo):
+        if k and v != todo[k - 1] + 1 or not k and after >= 0 and v != after + 1:
+            raise CorruptLog(f"version {v - 1} is missing")
+        r = record(v, "json")
+        if r is None:
+            if v != todo[-1]:
+                raise CorruptLog(f"version {v} is torn")
+            break
+        if r["op"] == "batch":
+            batches.append([r["ts"], r["rows"]])
+        if r["op"] == "flush":
+            batches = [b for b in batches if b[0] > r["upto"]]
+        if r["op"] == "compact":
+            for _, ids in r["task"]["inputs"]:
                 for i in ids:
                     live.pop(i, None)
-        live |= {f["file_id"]: f for f in record.get("files", ())}
+        live |= {f["file_id"]: f for f in r.get("files", ())}
     return list(live.values()), batches
 
 
@@ -111,9 +137,8 @@ class TidemarkReader(DataSourceReader):
         kind = pa.schema([("key", pa.binary()), ("ts", pa.int64()), ("value", pa.binary())])
         if isinstance(partition, FilePartition):
             import pyarrow.parquet as pq
-            from pyarrow import fs
 
-            files, path = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", partition.path))
+            files, path = _open(partition.path)
             batches = pq.ParquetFile(files.open_input_file(path)).iter_batches(columns=["key", "ts", "value"])
         else:
             batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*partition.value, strict=True), kind.types, strict=True)], schema=kind)]

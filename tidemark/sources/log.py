@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import time
 import uuid
 import zlib
 
@@ -20,6 +21,22 @@ class CorruptLog(RuntimeError):
     """A log file whose checksum or order is wrong."""
 
 
+def parse(raw: bytes, name: str) -> dict | None:
+    """The record in the bytes of a log file, or None if the file is torn."""
+    head, sep, body = raw.partition(b"\n")
+    try:
+        length, crc = map(int, head.split(b" "))
+    except ValueError:
+        if sep:
+            raise CorruptLog(f"{name}: header") from None
+        return None
+    if len(body) < length:
+        return None
+    if len(body) > length or zlib.crc32(body) != crc:
+        raise CorruptLog(f"{name}: checksum")
+    return json.loads(body)
+
+
 class CommitLog:
     """Files ``_log/00000000000000000007.json`` of a header line (length, CRC-32) and a JSON record.
 
@@ -75,19 +92,7 @@ class CommitLog:
         self._put(self._file(version), record)
 
     def parse(self, raw: bytes, name: str) -> dict | None:
-        """The record, or None if the file is torn."""
-        head, sep, body = raw.partition(b"\n")
-        try:
-            length, crc = map(int, head.split(b" "))
-        except ValueError:
-            if sep:
-                raise CorruptLog(f"{name}: header") from None
-            return None
-        if len(body) < length:
-            return None
-        if len(body) > length or zlib.crc32(body) != crc:
-            raise CorruptLog(f"{name}: checksum")
-        return json.loads(body)
+        return parse(raw, name)
 
     def read(self, after: int) -> list[tuple[int, dict]]:
         """Records of the versions after ``after``, without gaps."""
@@ -121,6 +126,19 @@ class CommitLog:
                 return v, state
         return None
 
+    def retire(self, older_than_seconds: float) -> int:
+        """Deletes records and state files that the last two state files make needless, once no process that is
+        behind can still want them; returns how many."""
+        states = self.versions("state")
+        if len(states) < 2:
+            return 0
+        limit, done = time.time() - older_than_seconds, 0
+        for kind, upto in (("json", states[-2]), ("state", states[-2] - 1)):
+            for v in self.versions(kind):
+                if v <= upto and self.fs.getFileStatus(self._file(v, kind)).getModificationTime() / 1000 <= limit:
+                    done += bool(self.fs.delete(self._file(v, kind), False))
+        return done
+
     # -- data files
 
     def size(self, path: str) -> int:

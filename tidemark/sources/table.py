@@ -494,7 +494,7 @@ class VersionedTable:
 
     def vacuum(self, older_than_seconds: float = 7 * 86_400) -> list[str]:
         """Deletes data files that neither this version nor an open snapshot names and that are old
-        enough for no other process to read them."""
+        enough for no other process to read them, and log files that state files have replaced."""
         named = {f.path for f in self.state.layout.files()} | {p for p, n in self.pins.items() if n > 0}
         strip = lambda p: tuple(p.rsplit("/", 2)[1:])  # noqa: E731  folders have names of their own, however the table is written
         keep, gone = {strip(p) for p in named}, []
@@ -502,6 +502,7 @@ class VersionedTable:
             if strip(path) not in keep and time.time() - changed >= older_than_seconds:
                 self.log.delete(path)
                 gone.append(path)
+        self.log.retire(older_than_seconds)
         return gone
 
     def close(self) -> None:
