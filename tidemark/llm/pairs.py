@@ -30,7 +30,7 @@ def dealt(filed: DataFrame, member: str, block: int) -> DataFrame:
     if n == 0:
         return filed
     rows = filed.join(bounded_broadcast(hot, n, MANY_KEYS), F.col("key") == F.col("_hot"), "left")
-    parts = parts_of(F.col("_n"), block // 2)
+    parts = F.greatest(F.lit(2), parts_of(F.col("_n"), block // 2))  # one part would have no other to meet
     mine = F.pmod(F.xxhash64(member), parts).cast("int")
     others = F.filter(F.sequence(F.lit(0), parts - 1), lambda o: o != F.col("_mine"))
     units = F.transform(others, lambda o: F.xxhash64("key", F.least("_mine", o), F.greatest("_mine", o)))
