@@ -4,6 +4,7 @@ import random
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions.keys import ALL_KEYS, BatchError, Delete, KeyRange, Put, excluded, included
 from tidemark.operators import resolve
@@ -316,3 +317,50 @@ def test_vacuum_keeps_live_files_of_folders_with_blanks(spark, tmp_path):
     t.full_compaction()
     assert len(t.vacuum(0)) == 2 and t.get("a") == b"1"
     t.close()
+
+
+def rows_read(df):
+    """Rows that the plan's scans let out, after row groups and pages are left out."""
+    df.collect()
+    plan, out = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan]
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+        elif p.nodeName().endswith("QueryStage"):
+            todo.append(p.plan())
+        elif p.nodeName().startswith("Scan parquet"):
+            out += p.metrics().apply("numOutputRows").value()
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return out
+
+
+def test_row_groups_are_left_out(spark, tmp_path):
+    """A Bloom filter answers for a key inside a file's span that the file has not; statistics cut a range."""
+    t = VersionedTable.at(spark, f"file://{tmp_path}/t")
+    n = 50_000
+    t.load_versions(spark.range(n).select(F.format_string("%08d", F.col("id") * 2).alias("key"), (F.col("id") + 1).alias("ts"), F.lit("v").alias("value")))
+    absent, present = (t.versions(keys=KeyRange(included(k), included(k))) for k in (b"00050001", b"00050000"))
+    assert rows_read(t.versions()) == n
+    assert rows_read(absent) == 0 and absent.count() == 0
+    assert 0 < rows_read(present) < n and present.count() == 1
+
+
+def test_write_frame_reads_its_input_once_and_decides_ties(spark, tmp_path):
+    t = VersionedTable.at(spark, f"file://{tmp_path}/t")
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = [("a", "1"), ("a", "3"), ("a", None), ("a", "2"), ("b", None)]
+    t.write_frame(spark.createDataFrame(rows, "key string, value string").mapInPandas(look, "key string, value string"))
+    assert seen.value == len(rows)
+    assert [(bytes(r["key"]), bytes(r["value"])) for r in t.scan().collect()] == [(b"a", b"3")]
+    for bad in ("NULL AS key, 'x' AS value", "'k' AS key, '' AS value"):
+        with pytest.raises(BatchError):
+            t.write_frame(spark.sql(f"SELECT {bad}"))
+    assert t.state.latest_ts == 1

@@ -50,7 +50,10 @@ class KeyRange:
     upper: Bound = UNBOUNDED
 
     def predicate(self, key: Column) -> Column:
-        """A conjunction of comparisons that Parquet scans take as pushed filters."""
+        """A conjunction of comparisons that Parquet scans take as pushed filters; one key is an equality, which
+        a file's Bloom filter can answer."""
+        if not self.lower.open and self.lower == self.upper and self.lower.inclusive:
+            return key == F.lit(self.lower.key)
         out = F.lit(True)
         if not self.lower.open:
             out = out & (key >= F.lit(self.lower.key) if self.lower.inclusive else key > F.lit(self.lower.key))

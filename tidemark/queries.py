@@ -12,14 +12,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.keys import ALL_KEYS, KeyRange, excluded, included, prefix_range
+from .functions.keys import ALL_KEYS, Delete, KeyRange, Put, excluded, included, prefix_range
 from .operators import resolve
 from .operators.split import with_file
 from .plans.layout import NoCompaction
 from .plans.leveled import Leveled
 from .plans.simple import SimpleLeveled
 from .plans.tiered import Tiered
-from .sources.table import Options, VersionedTable
+from .sources.table import ConflictError, Options, VersionedTable
 
 
 def version_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,7 +266,203 @@ def _compacted_by(policy):
     return query
 
 
-QUERIES = {f.__name__: f for f in (snapshot_scan, latest_scan, range_scan, inverted_range, point_get, seek, first_n, prefix_scan, key_only_scan, version_history, version_count, newest_run_wins, run_merge, two_way_merge, txn_overlay, gc_unversioned, run_meta, run_prune, run_prune_range, run_overlap, occ_conflicts, batch_last_wins, out_split, space_amp, time_travel_diff, latest_by_user_typed, table_scan, table_compacted, table_leveled)}
+def _loaded(spark: SparkSession, sf: str, n: int = 4, **options) -> tuple[VersionedTable, int]:
+    """A table of n sorted runs with the log's own timestamps, and the newest of them."""
+    log = version_log(spark, sf)
+    last = last_ts(log)
+    t = VersionedTable.at(spark, _workdir(spark), Options(**options))
+    for i in range(n):
+        t.load_versions(_binary(log.where((F.col("ts") > last * i // n) & (F.col("ts") <= last * (i + 1) // n))))
+    return t, last
+
+
+def _text(rows: DataFrame) -> DataFrame:
+    """Keys and values as text again."""
+    return rows.select(*[F.col(c).cast("string").alias(c) if kind == "binary" else F.col(c) for c, kind in rows.dtypes])
+
+
+def table_range(spark, sf):
+    """A bounded scan of a past snapshot; key span and timestamp prune files, then row groups."""
+    t, last = _loaded(spark, sf)
+    return _text(t.scan(KeyRange(excluded(b"0000000010"), included(b"0000000050")), read_ts=last // 2))
+
+
+def table_seek(spark, sf):
+    return _text(_loaded(spark, sf)[0].seek("0000000010x"))
+
+
+def table_prefix(spark, sf):
+    return _text(_loaded(spark, sf)[0].prefix("000000001"))
+
+
+def table_history(spark, sf):
+    t, _ = _loaded(spark, sf)
+    return _text(resolve.history(t.versions(keys=KeyRange(included(b"0000000002"), included(b"0000000002")))))
+
+
+def table_diff(spark, sf):
+    t, last = _loaded(spark, sf)
+    return _text(t.diff(last // 2, int(last * 0.6)))
+
+
+def table_get(spark, sf):
+    """Point reads at three snapshots; a key that is deleted or absent has no value."""
+    t, last = _loaded(spark, sf)
+    got = [(k, at, t.get(k, read_ts=ts)) for k in ("0000000002", "0000000010x") for at, ts in (("start", 0), ("half", last // 2), ("end", last))]
+    return spark.createDataFrame([(k, at, v and v.decode()) for k, at, v in got], "key string, as_of string, value string")
+
+
+def table_facts(spark, sf):
+    """What the manifest says of the files of all runs together."""
+    t, _ = _loaded(spark, sf)
+    d = t.describe().where("place != 'buffer'")
+    return _text(d.agg(F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), F.sum("n_rows").alias("n_rows")))
+
+
+def table_source(spark, sf):
+    """The table as another process reads it, through the data source."""
+    from .sources.datasource import register
+
+    register(spark)
+    t, last = _loaded(spark, sf)
+    rows = spark.read.format("tidemark").option("path", t.path).option("read_ts", str(last // 2)).load()
+    return _text(resolve.snapshot(rows).select("key", "value"))
+
+
+def table_vacuumed(spark, sf):
+    """Compactions, then only the files still named, opened anew from the log."""
+    t, _ = _loaded(spark, sf, 6, policy=SimpleLeveled())
+    t.maintain()
+    t.vacuum(0)
+    t.close()
+    return _text(VersionedTable.at(spark, t.path, Options(policy=SimpleLeveled())).scan())
+
+
+def ingest_stream(spark, sf):
+    """The events as a stream, each micro-batch one commit."""
+    from .streaming.ingest import ingest
+
+    path = f"{sf}/events.parquet"
+    # A pattern, as a stream's plain path must be a folder and the table may be one file.
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/events.parque[t]")
+    value = F.when(F.col("event_type") != "error", F.concat("event_type", F.lit(":"), F.col("event_id").cast("string")))
+    rows = events.select(F.lpad(F.col("user_id").cast("string"), 10, "0").alias("key"), value.alias("value"), F.col("event_id").alias("ord"))
+    t = VersionedTable.at(spark, _workdir(spark), Options(policy=Leveled()))
+    ingest(rows, t, "events", f"{t.path}-progress", "ord").awaitTermination()
+    return _text(t.scan())
+
+
+def _type_counts(spark: SparkSession, sf: str) -> dict[str, int]:
+    """Events of each type; as few rows as there are types, whatever the table's size."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").where(F.col("event_type").isNotNull()).groupBy("event_type").count().collect()
+    return {r["event_type"]: r["count"] for r in rows}
+
+
+def _batches(spark: SparkSession, sf: str, flush: bool = False, **options) -> VersionedTable:
+    """A batch of the counts by type, then one that deletes those that are even."""
+    counts = _type_counts(spark, sf)
+    t = VersionedTable.at(spark, _workdir(spark), Options(**options))
+    for batch in ([Put(k, str(n)) for k, n in counts.items()], [Put("~end", "x"), *(Delete(k) for k, n in counts.items() if n % 2 == 0)]):
+        t.write_batch(batch)
+        if flush:
+            t.flush()
+    return t
+
+
+def buffer_scan(spark, sf):
+    """Batches that no file holds yet."""
+    return _text(_batches(spark, sf).scan())
+
+
+def buffer_get(spark, sf):
+    t = _batches(spark, sf)
+    got = [(k, t.get(k)) for k in [*_type_counts(spark, sf), "~absent"]]
+    return spark.createDataFrame([(k, v and v.decode()) for k, v in got], "key string, value string")
+
+
+def recovered_scan(spark, sf):
+    """A table that nobody closed, opened again: rows and timestamp come from the log."""
+    t = _batches(spark, sf)
+    again = VersionedTable.at(spark, t.path)
+    return _text(again.scan()).withColumn("latest_ts", F.lit(again.state.latest_ts).cast("long"))
+
+
+def flushed_files(spark, sf):
+    """A file a flushed batch, with its key span, timestamps and rows."""
+    d = _batches(spark, sf, flush=True).describe().where("place = 'l0'")
+    return _text(d.select("first_key", "last_key", "min_ts", "max_ts", "n_rows"))
+
+
+def txn_scan(spark, sf):
+    """A snapshot under a transaction's own writes; runs loaded after its start do not show."""
+    log = version_log(spark, sf)
+    half = last_ts(log) // 2
+    t = VersionedTable.at(spark, _workdir(spark), Options())
+    t.load_versions(_binary(log.where(F.col("ts") <= half)))
+    txn = t.begin()
+    t.load_versions(_binary(log.where(F.col("ts") > half)))
+    txn.put("0000000002", "own")
+    txn.delete("0000000003")
+    return _text(txn.scan())
+
+
+def txn_commit(spark, sf):
+    """Without validation the last commit wins, over a run loaded after the transaction's start."""
+    log = version_log(spark, sf)
+    half = last_ts(log) // 2
+    t = VersionedTable.at(spark, _workdir(spark), Options())
+    t.load_versions(_binary(log.where(F.col("ts") <= half)))
+    with t.begin() as txn:
+        txn.put("0000000002", "own")
+        txn.delete("0000000003")
+        t.load_versions(_binary(log.where(F.col("ts") > half)))
+    return _text(t.scan())
+
+
+def txn_conflicts(spark, sf):
+    """A serializable transaction for each type of event reads the type's key and writes another; a
+    batch between changes the keys of even counts."""
+    counts = _type_counts(spark, sf)
+    t = VersionedTable.at(spark, _workdir(spark), Options(serializable=True))
+    t.write_batch([Put(k, str(n)) for k, n in counts.items()])
+    txns = {k: t.begin() for k in counts}
+    for k, txn in txns.items():
+        txn.get(k)
+        txn.put(f"seen {k}", "x")
+    t.write_batch([Put("~end", "x"), *(Put(k, "new") for k, n in counts.items() if n % 2 == 0)])
+
+    def commits(txn) -> bool:
+        try:
+            txn.commit()
+        except ConflictError:
+            return False
+        return True
+
+    return spark.createDataFrame([(k, commits(txn), t.get(f"seen {k}") is not None) for k, txn in txns.items()], "key string, committed boolean, visible boolean")
+
+
+def txn_scan_conflicts(spark, sf):
+    """The same for transactions that scan from their type's key onwards: a batch conflicts if it changes any
+    key that the scan returned."""
+    counts = _type_counts(spark, sf)
+    t = VersionedTable.at(spark, _workdir(spark), Options(serializable=True))
+    t.write_batch([Put(k, str(n)) for k, n in counts.items()])
+    txns = {k: t.begin() for k in counts}
+    for k, txn in txns.items():
+        txn.scan(KeyRange(included(k.encode()), ALL_KEYS.upper))
+        txn.put(f" {k}", "x")
+    t.write_batch([Put("~end", "x"), *(Put(k, "new") for k, n in counts.items() if n % 2 == 0)])
+    out = []
+    for k, txn in txns.items():
+        try:
+            txn.commit()
+            out.append((k, True))
+        except ConflictError:
+            out.append((k, False))
+    return spark.createDataFrame(out, "key string, committed boolean")
+
+
+QUERIES = {f.__name__: f for f in (snapshot_scan, latest_scan, range_scan, inverted_range, point_get, seek, first_n, prefix_scan, key_only_scan, version_history, version_count, newest_run_wins, run_merge, two_way_merge, txn_overlay, gc_unversioned, run_meta, run_prune, run_prune_range, run_overlap, occ_conflicts, batch_last_wins, out_split, space_amp, time_travel_diff, latest_by_user_typed, table_scan, table_compacted, table_leveled, table_range, table_seek, table_prefix, table_history, table_diff, table_get, table_facts, table_source, table_vacuumed, ingest_stream, buffer_scan, buffer_get, recovered_scan, flushed_files, txn_scan, txn_commit, txn_conflicts, txn_scan_conflicts)}
 QUERIES |= {f"bounds_{low}_{high}": _range(ENDS[low][0], ENDS[high][1]) for low in ENDS for high in ENDS}
 QUERIES |= {"table_simple": _compacted_by(SimpleLeveled()), "table_tiered": _compacted_by(Tiered(num_tiers=3))}
 QUERIES |= {"gc_nonbottom": _gc(False), "gc_bottom": _gc(True), "gc_filter": _gc(True, ("000000001",))}
@@ -308,4 +504,29 @@ SELECT n.key, o.value AS old_value, n.value AS new_value, CASE WHEN o.value IS N
     "gc_bottom": _gc_sql(True),
     "gc_filter": _gc_sql(True, "000000001"),
 }
+TYPES = "t AS (SELECT event_type AS key, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type)"
+BATCHES = "SELECT key, cast(n AS varchar) AS value FROM t WHERE n % 2 = 1 UNION ALL SELECT '~end', 'x'"
+AT = "SELECT * FROM (VALUES ('start', 0), ('half', (SELECT cast(floor(max(ts) * 0.5) AS bigint) FROM log)), ('end', (SELECT max(ts) FROM log))) a(as_of, at_ts)"
+OWN = "SELECT key, value FROM s WHERE value IS NOT NULL AND key NOT IN ('0000000002', '0000000003') UNION ALL SELECT '0000000002', 'own'"
+SQL |= {
+    "table_range": snap_sql(f"ts <= {HALF} AND key > '0000000010' AND key <= '0000000050'", "key, value"),
+    "table_seek": snap_sql("key >= '0000000010x'", "key, value") + " ORDER BY key LIMIT 1",
+    "table_prefix": snap_sql("starts_with(key, '000000001')", "key, value"),
+    "table_history": SQL["version_history"],
+    "table_diff": SQL["time_travel_diff"],
+    "table_get": f"WITH {LOG}, a AS ({AT}), k AS (SELECT unnest(['0000000002', '0000000010x']) AS key) SELECT k.key, a.as_of, (SELECT max_by(coalesce(l.value, '-'), l.ts) FROM log l WHERE l.key = k.key AND l.ts <= a.at_ts) AS v FROM k, a",
+    "table_facts": f"WITH {LOG} SELECT min(key) AS first_key, max(key) AS last_key, min(ts) AS min_ts, max(ts) AS max_ts, cast(count(*) AS bigint) AS n_rows FROM log",
+    "table_source": snap_sql(f"ts <= {HALF}", "key, value"),
+    "table_vacuumed": snap_sql("TRUE", "key, value"),
+    "ingest_stream": snap_sql("TRUE", "key, value"),
+    "buffer_scan": f"WITH {TYPES} {BATCHES}",
+    "buffer_get": f"WITH {TYPES} SELECT key, CASE WHEN n % 2 = 1 THEN cast(n AS varchar) END AS value FROM t UNION ALL SELECT '~absent', NULL",
+    "recovered_scan": f"WITH {TYPES} SELECT key, value, cast(2 AS bigint) AS latest_ts FROM ({BATCHES}) b",
+    "flushed_files": f"WITH {TYPES}, b AS (SELECT cast(1 AS bigint) AS ts, key FROM t UNION ALL SELECT 2, key FROM t WHERE n % 2 = 0 UNION ALL SELECT 2, '~end') SELECT min(key) AS first_key, max(key) AS last_key, ts AS min_ts, ts AS max_ts, count(*) AS n_rows FROM b GROUP BY ts",
+    "txn_scan": f"WITH {LOG}, s AS ({newest_sql(f'ts <= {HALF}')}) {OWN}",
+    "txn_commit": f"WITH {LOG}, s AS ({newest_sql()}) {OWN}",
+    "txn_conflicts": f"WITH {TYPES} SELECT key, n % 2 = 1 AS committed, n % 2 = 1 AS visible FROM t",
+    "txn_scan_conflicts": f"WITH {TYPES} SELECT key, NOT EXISTS (SELECT 1 FROM t u WHERE u.key >= t.key AND u.n % 2 = 0) AS committed FROM t",
+}
+SQL["table_get"] = f"SELECT key, as_of, CASE WHEN v <> '-' THEN v END AS value FROM ({SQL['table_get']}) g"
 SQL |= {f"bounds_{low}_{high}": snap_sql(f"{SQL_LOW[low]} AND {SQL_HIGH[high]}") for low in ENDS for high in ENDS}

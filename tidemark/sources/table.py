@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field, replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ class ClosedError(RuntimeError):
     """Use of a finished transaction or a closed table."""
 
 
+BAD_FIELD = "a key or value is empty or too long"
+
 #: Files whose timestamps are broadcast at most; beyond it a shuffle joins them.
 MANY_FILES = 100_000
 
@@ -261,16 +264,21 @@ class VersionedTable:
 
     def write_frame(self, rows: DataFrame, app: str | None = None, batch: int | None = None, ordinal: str | None = None) -> int | None:
         """A batch of any size: columns key and value (null deletes), of equal keys the one of largest
-        ordinal counts.  With app and batch, a batch already committed is not applied again (None)."""
+        ordinal counts, or without an ordinal the largest value, a deletion only if alone.  With app and batch,
+        a batch already committed is not applied again (None).  The input is evaluated once."""
         if app is not None and dict(self.state.apps).get(app, -1) >= batch:
             return None
-        rows = rows.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), *([ordinal] if ordinal else []))
-        bad = rows.where(F.col("key").isNull() | (F.length("key") == 0) | (F.length("value") == 0) | (F.length("key") > MAX_FIELD) | (F.length("value") > MAX_FIELD))
-        if not bad.isEmpty():
-            raise BatchError("a key or value is empty or too long")
-        rows = resolve.dedupe_batch(rows, ordinal).drop(ordinal) if ordinal else resolve.newest(rows, F.lit(0))
+        key, value = F.col("key").cast("binary"), F.col("value").cast("binary")
+        bad = key.isNull() | (F.length(key) == 0) | (F.length(value) == 0) | (F.length(key) > MAX_FIELD) | (F.length(value) > MAX_FIELD)
+        rows = rows.select(F.when(bad, F.raise_error(F.lit(BAD_FIELD))).otherwise(key).alias("key"), value.alias("value"), *([ordinal] if ordinal else []))
+        rows = resolve.dedupe_batch(rows, ordinal).drop(ordinal) if ordinal else resolve.newest(rows, F.struct(F.col("value").isNotNull(), F.col("value")))
         # The timestamp is known only at commit: files are written with 0 and get it from the manifest.
-        files = self._write_files(rows.withColumn("ts", F.lit(0).cast("long")), None, unique=True)
+        try:
+            files = self._write_files(rows.withColumn("ts", F.lit(0).cast("long")), None, unique=True)
+        except PySparkException as e:
+            if BAD_FIELD in str(e):
+                raise BatchError(BAD_FIELD) from e
+            raise
 
         def record(s: State) -> dict:
             if app is not None and dict(s.apps).get(app, -1) >= batch:

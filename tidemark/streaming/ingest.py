@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.table import VersionedTable
 
@@ -26,22 +22,13 @@ def ingest(stream: DataFrame, table: VersionedTable, app: str, checkpoint: str,
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _keep_newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    ts, value = state.get if state.exists else (-1, None)
-    before = ts
-    for b in batches:
-        if len(b):
-            top = b.loc[b["ts"].idxmax()]
-            if top["ts"] > ts:
-                ts, value = int(top["ts"]), None if pd.isna(top["value"]) else top["value"]
-    if ts != before:
-        state.update((ts, value))
-        yield pd.DataFrame({"key": [key[0]], "ts": [ts], "value": pd.Series([value], dtype=object)})
-
-
 def latest_values(stream: DataFrame) -> DataFrame:
-    """A stream of (key, ts, value): a row whenever a key gets a newer version; late versions change
-    nothing.  State is one version a key."""
+    """A stream of (key, ts, value) to the newest version of each key, for the output mode "update".
+
+    A streaming aggregate: the state is one version a key, in the JVM, and a batch is shrunk to one row a key
+    before the shuffle.  A late version changes nothing; the key's row comes again as it stands.  Of versions
+    with one timestamp the largest value counts, a deletion only if alone.
+    """
     rows = stream.select(F.col("key").cast("string"), F.col("ts").cast("long"), F.col("value").cast("string"))
-    kind = "key string, ts long, value string"
-    return rows.groupBy("key").applyInPandasWithState(_keep_newest, kind, "ts long, value string", "update", GroupStateTimeout.NoTimeout)
+    best = F.max(F.struct("ts", F.col("value").isNotNull().alias("stored"), "value")).alias("_v")
+    return rows.groupBy("key").agg(best).select("key", "_v.ts", "_v.value")
