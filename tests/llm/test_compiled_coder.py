@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm import rangecoder, tokens
+from tidemark.llm import jvm_coder, rangecoder, tokens
 from tidemark.llm.common import new_path
 
 
@@ -68,3 +69,21 @@ def test_new_words_in_groups_and_a_memory_that_fills(monkeypatch):
         texts = [" ".join("".join(rng.choice("aeé'1 !日") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(n + 1))) for _ in range(6)] + ["", None]
         ids, at = b.encode(pa.array(texts, pa.string()), 0)
         assert [ids[a:z].tolist() for a, z in zip(at, at[1:], strict=False)] == [[*b.library.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+
+
+def test_odd_streams_of_ids(spark):
+    rng = np.random.default_rng(6)
+    x = [[5], [65_535, 0, 1, 2], [0] * 9000, rng.integers(0, 65_536, 9000), np.minimum(rng.zipf(1.3, 9000), 65_535), np.tile(np.arange(300), 40), np.arange(2 * rangecoder.BLOCK) % 7, np.repeat(rng.permutation(65_536), 2), rng.integers(0, 2, 30_000) * 40_000]
+    x = [np.array(ids, np.int64) for ids in x]
+    whole = [rangecoder.encode(ids) for ids in x]
+    url, one = new_path(spark, "ids") + "/odd.ids", np.array([1], "<i8").tobytes()
+    rows = [(k, url, k == len(x) - 1, one, np.array([len(ids)], "<i8").tobytes(), w[0], ids.astype("<u2").tobytes()) for k, (ids, w) in enumerate(zip(x, whole, strict=True))]
+    df = spark.createDataFrame(rows, "k long, path string, last boolean, docs binary, counts binary, prior binary, ids binary").coalesce(1)
+    at = df.select("k", jvm_coder.store(spark, *map(F.col, df.columns[1:])).alias("at")).collect()
+    assert len(at) == len(x) and at[0]["at"] == 0
+    for (k, start), ids, (prior, blocks, lengths, checks) in zip(at, x, whole, strict=True):
+        docs, counts, *found = tokens.read_segment(url, start)
+        facts = np.array([list(map(len, blocks)), lengths, checks], "<u4").tobytes()
+        assert found == [prior, facts, b"".join(blocks)] and counts.tolist() == [len(ids)], k
+        df = spark.createDataFrame([(*found, counts.tobytes())], "prior binary, facts binary, blocks binary, counts binary")
+        assert bytes(df.select(jvm_coder.decode(spark, *map(F.col, df.columns))).first()[0][0]) == ids.astype("<u4").tobytes(), k
